@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, quality, toxicity
+from . import chat, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, toxicity
 from .common import table
 
 #: Weights that the mixing query asks for, by level.
@@ -22,6 +22,14 @@ def with_domain(docs: DataFrame) -> DataFrame:
     return docs.withColumn("domain", F.concat(F.lit("d"), (n % 4).cast("string")))
 
 
+#: The public vocabulary with offsets that conversations are encoded with; a parameter of the operator.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -35,6 +43,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_chats(turns.unionByName(extra), TOKENIZER)).drop("n_tokens")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(table(spark, sf_dir, "documents"))
 
@@ -48,9 +63,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op5_quality": op5_quality,
+    "op6_chat_format": op6_chat_format,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
@@ -127,6 +144,21 @@ plan AS (
 SELECT doc_id, unnest(range(0, last_epoch + 1))::INT AS epoch, domain, lang, source, n_tokens, leaf_budget FROM chosen WHERE last_epoch >= 0
 """
 
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), e AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## ') AS body,
+    replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## '), ':', '\:') AS head FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ') + length(head) + 2 + length(body) + length('</turn>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP7_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -145,6 +177,7 @@ FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN c ON c.node
 """
 
 ORACLES: dict[str, str] = {
+    "op6_chat_format": OP6_SQL,
     "op7_ngram_jaccard": OP7_SQL,
     "op2_line_dedup": OP2_SQL,
     "op3_mixing": OP3_SQL,
