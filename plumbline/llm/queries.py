@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, line_dedup, lm_score, mixing, ngram_join, quality, toxicity
+from . import chat, decontaminate, exact_dedup, line_dedup, lm_score, mixing, ngram_join, quality, suffix_dedup, toxicity
 from .common import table
 
 #: Weights that the mixing query asks for, by level.
@@ -39,6 +39,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, ["domain", "lang", "source"], [DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS])
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality": op5_quality,
     "op6_chat_format": op6_chat_format,
     "op7_ngram_jaccard": op7_ngram_jaccard,
@@ -149,6 +154,24 @@ plan AS (
 SELECT doc_id, unnest(range(0, last_epoch + 1))::INT AS epoch, domain, lang, source, n_tokens, leaf_budget FROM chosen WHERE last_epoch >= 0
 """
 
+OP4_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, octet_length(b) AS n, hex(b) AS x FROM d),
+w AS (SELECT doc_id, unnest(list_transform(range(0, n - 99), lambda i: {'s': i, 'key': md5_number(substr(x, 2 * i + 1, 200))}), recursive := true) FROM n WHERE n >= 100),
+k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY key ORDER BY doc_id, s) AS rn FROM w),
+r AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM k WHERE rn > 1),
+g AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM r),
+p AS (SELECT doc_id, span, min(s) AS lo, max(s) + 100 AS hi FROM g GROUP BY doc_id, span),
+q AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS from_, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS next_ FROM p),
+t AS (
+  SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed,
+    string_agg(substr(x, (2 * from_ + 1)::BIGINT, (2 * (lo - from_))::BIGINT) || CASE WHEN next_ IS NULL THEN substr(x, (2 * hi + 1)::BIGINT) ELSE '' END, '' ORDER BY lo) AS kept
+  FROM q JOIN n USING (doc_id) GROUP BY doc_id
+)
+SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM n LEFT JOIN t USING (doc_id)
+"""
+
 OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -182,6 +205,7 @@ FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN c ON c.node
 """
 
 ORACLES: dict[str, str] = {
+    "op4_suffix_dedup": OP4_SQL,
     "op6_chat_format": OP6_SQL,
     "op7_ngram_jaccard": OP7_SQL,
     "op2_line_dedup": OP2_SQL,
