@@ -36,7 +36,7 @@ _NONE = 0xFFFF
 _ORDERS = (U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))  # odd: multiplying permutes the tokens
 _BITS = U((1 << 52) - 1)
 PACKED = "part long, block long, a binary, b binary, c binary, d binary"
-FOUND = "token long, doc_id long, n int, sig1 long, sig2 long"
+FOUND = "token long, pos int, doc_id long, n int, sig1 long, sig2 long"
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,11 +170,14 @@ def _prefixes(percent: int, bits: int):
         doc, token = doc[order].astype(np.int64), token[order]
         first = np.searchsorted(doc, np.arange(len(n) + 1))
         room = np.where(n > 0, _ends(n, percent), 0) - (n - np.diff(first))
-        chosen = np.arange(len(doc)) - first[doc] < room[doc]
+        rank = np.arange(len(doc)) - first[doc]
+        chosen = rank < room[doc]
+        pos = (rank + (n - np.diff(first))[doc])[chosen]  # tokens of one document come first in the order
         doc, token = doc[chosen], token[chosen]
         every = np.concatenate((np.arange(len(n)), doc))
         tokens = pa.array(np.concatenate((np.zeros(len(n), np.int64), token.astype(np.int64))), mask=np.arange(len(every)) < len(n))
-        return pa.table([tokens, pa.array(ids[every]), pa.array(n[every].astype(np.int32)), pa.array(sig[every, 0].view(np.int64)), pa.array(sig[every, 1].view(np.int64))], names=["token", "doc_id", "n", "sig1", "sig2"])
+        places = pa.array(np.concatenate((np.zeros(len(n), np.int32), pos.astype(np.int32))))
+        return pa.table([tokens, places, pa.array(ids[every]), pa.array(n[every].astype(np.int32)), pa.array(sig[every, 0].view(np.int64)), pa.array(sig[every, 1].view(np.int64))], names=["token", "pos", "doc_id", "n", "sig1", "sig2"])
 
     return run
 
@@ -241,43 +244,47 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     packed = known.mapInArrow(_pack(k, bits), PACKED)
     shared = packed.groupBy("part").applyInArrow(_shared, PACKED)
     found = store.cut(shared.groupBy("block").applyInArrow(_prefixes(percent, bits), FOUND), "found")
-    rows = found.filter("token is null").drop("token")
+    rows = found.filter("token is null").drop("token", "pos")
     classes = store.cut(rows.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
-    bucket = found.filter("token is not null").select("token", "sig1", "sig2").distinct().join(classes.filter("n > 0").select("sig1", "sig2", "rep", "n"), ["sig1", "sig2"])
-    several = bucket.groupBy("token").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    bucket = found.filter("token is not null").select("token", "pos", "sig1", "sig2").distinct().join(classes.filter("n > 0").select("sig1", "sig2", "rep", "n"), ["sig1", "sig2"])
+    # A bucket's lead has the fewest tokens before this one: it is nearest to what a group of near copies has in common.
+    several = bucket.groupBy("token").agg(F.min(F.struct("pos", "rep", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     bucket = store.cut(bucket.join(several.select("token", "lead"), "token"), "bucket")
     members = bucket.select("rep", "sig1", "sig2").distinct()
     whole = known.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_whole_sets(k), "doc_id long, sig1 long, sig2 long, tokens binary")
     whole = whole.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "sig1", "sig2"], "left_semi").select("doc_id", "tokens")
     whole = store.cut(whole, "sets")
 
-    def fits(x: str, y: str):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    def fits(x: str, y: str, at_x: str, at_y: str):
+        """Sizes are near enough, and if this is the first token two sets share, enough tokens follow it in both."""
+        after = F.least(F.col(x) - F.col(at_x), F.col(y) - F.col(at_y))
+        return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * after >= percent * (F.col(x) + F.col(y)))
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         full = pairs.join(whole.withColumnsRenamed({"doc_id": "b", "tokens": "tb"}), "b").join(whole.withColumnsRenamed({"doc_id": "a", "tokens": "ta"}), "a")
         return store.cut(full.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), name)
 
-    sizes = classes.filter("n > 0").select(F.col("rep").alias("lead"), F.col("n").alias("n_lead"))
-    stars = bucket.filter("rep != lead").select(F.col("lead"), "rep", "n").distinct().join(sizes, "lead").filter(fits("n", "n_lead"))
-    tried = store.cut(stars.select(F.col("lead").alias("a"), F.col("rep").alias("b")), "tried1")
+    stars = bucket.filter("rep != lead.rep").filter(fits("n", "lead.n", "pos", "lead.pos"))
+    tried = store.cut(stars.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct(), "tried1")
     links = check(tried, "links1")
     label = components(links, store, "round1")
 
     def apart(k: int) -> DataFrame:
         """Bucket rows with their components, of the buckets that still hold several."""
-        now = bucket.select("token", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        now = bucket.select("token", "pos", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         now = store.cut(now, f"labelled{k}")
-        ends = now.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max(F.struct("comp", "rep", "n")).alias("_last")).filter("_lo != _hi")
+        ends = now.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max(F.struct("comp", (-F.col("pos")).alias("near"), "rep", "n")).alias("_last")).filter("_lo != _hi")
         return now.join(ends.select("token", "_last"), "token")
 
-    left = apart(2).filter("comp != _last.comp").select(F.least("rep", "_last.rep").alias("a"), F.greatest("rep", "_last.rep").alias("b"), F.col("n"), F.col("_last.n").alias("m"))
-    second = store.cut(left.filter(fits("n", "m")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried2")
+    left = apart(2).filter("comp != _last.comp").withColumn("_at", -F.col("_last.near")).filter(fits("n", "_last.n", "pos", "_at"))
+    left = left.select(F.least("rep", "_last.rep").alias("a"), F.greatest("rep", "_last.rep").alias("b")).distinct()
+    second = store.cut(left.join(tried, ["a", "b"], "left_anti"), "tried2")
     links = links.unionByName(check(second, "links2"))
     label = components(links, store, "round2")
-    rest = store.cut(apart(3).select("token", "rep", "n", "comp"), "apart")
-    x, y = rest.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), rest.select(F.col("token").alias("t2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = x.join(y, (F.col("token") == F.col("t2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b").distinct()
+    rest = store.cut(apart(3).select("token", "pos", "rep", "n", "comp"), "apart")
+    x = rest.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("pos").alias("pa"))
+    y = rest.select(F.col("token").alias("t2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"))
+    pairs = x.join(y, (F.col("token") == F.col("t2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb", "pa", "pb")).select("a", "b").distinct()
     third = store.cut(pairs.join(tried.unionByName(second), ["a", "b"], "left_anti"), "tried3")
     links = links.unionByName(check(third, "links3"))
     label = components(links, store, "round3")
