@@ -37,7 +37,7 @@ def estimate_book(lines: DataFrame, scope: list[str], *ties: str, overhead_rate:
     """The lines, and a summary of four rows."""
     t = totals(lines, scope, overhead_rate, tax_rate)
     parts = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(label).alias("label"), F.col(c).alias("amount")) for i, (label, c) in enumerate((("小計", "subtotal"), ("諸経費", "overhead"), ("消費税", "tax"), ("合計", "total")))])
-    return {"lines": estimate_sheet(lines, scope, *ties), "summary": t.select(*scope, F.explode(parts).alias("p")).select(*scope, "p.*")}
+    return {"lines": estimate_sheet(lines, scope, *ties), "summary": t.select(*scope, F.explode(parts).alias("_row")).select(*scope, "_row.*")}
 
 
 def purchase_order_book(lines: DataFrame, scope: list[str], *ties: str) -> dict[str, DataFrame]:
