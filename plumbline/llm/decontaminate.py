@@ -2,7 +2,8 @@
 
 The benchmark's passages, as TF-IDF rows (word weights from document frequencies over all documents), are factored by a
 distributed randomised SVD. Each document's overlapping windows of words are projected into that latent space; windows
-close to an item by cosine are candidates. A candidate is a leak if the longest common subsequence of words, over the
+close to an item by cosine, and with a share of its weight, are candidates; most windows cannot reach that share by the
+sum of their words' greatest contributions to any item, and need no projection. A candidate is a leak if the longest common subsequence of words, over the
 window and an item's length around it, covers enough of the item, and enough of the item's answer (its last words).
 """
 
@@ -21,8 +22,10 @@ from .textnum import U, chunks, runs, words
 
 #: Bits of hashed words for document frequencies; latent dimensions; half a window; benchmark items searched at once.
 BITS, RANK, STEP, ITEMS = 18, 128, 16, 4096
-#: Least cosine of a candidate; least shares of item and answer that a common subsequence covers.
-COSINE, COVER, ANSWER_COVER = 0.35, 0.6, 0.5
+#: Least cosine of a candidate, and least share of an item's latent weight that its window holds (a window may have less
+#: than half of a long item, and a paraphrase less than all of that); least shares of item and answer that a common
+#: subsequence covers.
+COSINE, WEIGHT, COVER, ANSWER_COVER = 0.2, 0.22, 0.6, 0.5
 FOUND = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, start_word long"
 
 
@@ -157,8 +160,15 @@ def _search(base: DataFrame, items: DataFrame, frequency: np.ndarray, n_docs: in
     for i, (_, item) in enumerate(told):
         c = column[_slot(np.array(item, np.uint64))]
         vectors[i] = (basis[c] * idf[c][:, None]).sum(0)
-    vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32).T.copy()
+    vocabulary = [frozenset(item) for _, item in told]
+    norm = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
     weighted = (basis * idf[:, None]).astype(np.float32)
+    # A word's greatest contribution to a window's share of any item, in blocks of items to bound the memory.
+    most = np.zeros(len(used))
+    for lo in range(0, len(told), 512):
+        most = np.maximum(most, (weighted.astype(float) @ vectors[lo : lo + 512].T / norm[lo : lo + 512] ** 2).max(1))
+    least = (WEIGHT * norm).astype(np.float32)
+    vectors = (vectors / norm[:, None]).astype(np.float32).T.copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,32 +184,44 @@ def _search(base: DataFrame, items: DataFrame, frequency: np.ndarray, n_docs: in
                 place = np.flatnonzero(c >= 0)
                 doc = w.doc[place]
                 own = first[doc] + (place - w.bound[doc]) // STEP
+                follows = np.ones(first[-1], bool)
+                follows[first[1:][blocks > 0] - 1] = False  # a text's last block stands alone
+                bound = np.bincount(own, most[c[place]], first[-1])
+                bound[:-1] += np.where(follows[:-1], bound[1:], 0.0)
+                window_at = np.flatnonzero(bound >= WEIGHT)
+                if not len(window_at):
+                    continue
+                needed = np.zeros(first[-1] + 1, bool)
+                needed[window_at] = True
+                needed[window_at + 1] |= follows[window_at]
+                keep = needed[own]
+                own, place = own[keep], place[keep]
                 at = runs(own)[:-1]
-                sums = np.zeros((first[-1], weighted.shape[1]), np.float32)
+                sums = np.zeros((first[-1] + 1, weighted.shape[1]), np.float32)
                 if len(at):
                     sums[own[at]] = np.add.reduceat(weighted[c[place]], at, axis=0)
-                window = sums.copy()
-                follows = np.ones(first[-1], bool)
-                follows[first[1:][blocks > 0] - 1] = False  # a text's last block stands alone
-                follows = np.flatnonzero(follows)
-                window[follows] += sums[follows + 1]
-                window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-                close = window @ vectors
-                hit = np.argwhere(close >= cosine)
+                window = sums[window_at] + np.where(follows[window_at][:, None], sums[window_at + 1], np.float32(0))
+                size = np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
+                dot = window @ vectors
+                hit = np.argwhere((dot >= cosine * size) & (dot >= least))
                 if not len(hit):
                     continue
+                close = dot[hit[:, 0], hit[:, 1]] / size[hit[:, 0], 0]
+                hit[:, 0] = window_at[hit[:, 0]]
                 of = np.searchsorted(first, hit[:, 0], "right") - 1
                 best: dict[tuple[int, int], tuple] = {}
                 seen: dict[int, list[int]] = {}
-                for d, (b, i) in zip(of.tolist(), hit.tolist(), strict=True):
+                for d, (b, i), near in zip(of.tolist(), hit.tolist(), close.tolist(), strict=True):
                     item = told[i][1]
                     start = (b - int(first[d])) * STEP
                     if d not in seen:
                         seen[d] = w.hash[w.bound[d] : w.bound[d + 1]].tolist()
                     region = seen[d][max(0, start - len(item)) : start + 2 * STEP + len(item)]
+                    if sum(map(vocabulary[i].__contains__, region)) < cover * len(item):
+                        continue  # no subsequence can be long enough
                     share, end = _best(item, region)
                     if share >= cover and end >= answer_cover and best.get((d, i), (0.0,))[0] < share:
-                        best[(d, i)] = (share, end, float(close[b, i]), start)
+                        best[(d, i)] = (share, end, near, start)
                 rows += [(ids[lo + d], told[i][0], c_, s, e, at_) for (d, i), (s, e, c_, at_) in best.items()]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
