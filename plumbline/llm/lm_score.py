@@ -12,11 +12,13 @@ what is shuffled are packed arrays of runs (or word hashes) with counts, by rang
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Store, text_or_empty
@@ -24,9 +26,10 @@ from .learn import fold, sigmoid
 from .textnum import U, chunks, mix, runs, words
 
 ORDER, SLOT_BITS, SLICE_BITS = 5, 21, 15
-#: Bytes of text in a block, and in the run that a training task sorts at once.
-BLOCK, TAKE = 16 << 20, 24 << 20
-PARTS = 64
+#: Bytes of text in a block, that a training task sorts at once, and whose distinct runs it sends together.
+BLOCK, PIECE, TAKE = 16 << 20, 2 << 20, 32 << 20
+#: Bits of the ranges of runs and words, at least; more for more than 1 GB of text.
+PART_BITS = 6
 _END = 0xFF  # no byte of UTF-8: a text's end is predicted like a byte
 _BATCH, _RATE, _EPOCHS, _BUCKETS = 2048, 0.2, 2, 32
 END_WORD = U(0x5851F42D4C957F2D)
@@ -67,16 +70,37 @@ def _slots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, node, bit
 
 
+#: The tables that a worker has unpacked last, by broadcast.
+_unpacked: dict[str, np.ndarray] = {}
+
+
 class Model:
-    """Tables (order, slot, bit) of counts, gate weights and the adaptive table."""
+    """Tables (order, slot, bit) of counts, gate weights and the adaptive table.
+
+    The tables are broadcast once, packed; tasks get them by that, and the small rest with their function.
+    """
 
-    def __init__(self, tables: np.ndarray) -> None:
-        self.tables = tables  # uint16
+    def __init__(self, tables: np.ndarray, spark: SparkSession | None = None) -> None:
+        self._tables = tables  # uint16
+        self.key = uuid.uuid4().hex
+        self.packed = spark.sparkContext.broadcast(zlib.compress(tables.tobytes(), 1)) if spark else None
         self.seen_w = np.full((ORDER + 1, 6, ORDER + 1), 0.15, np.float32)
         self.node_w = np.full((256, ORDER + 1), 0.15, np.float32)
         self.seen_w[..., -1] = self.node_w[..., -1] = 0
         self.refine = np.tile(sigmoid((np.arange(_BUCKETS + 1) - _BUCKETS / 2) / 2), (256, 1)).astype(np.float32)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
+
+    @property
+    def tables(self) -> np.ndarray:
+        if "_tables" not in self.__dict__:
+            if self.key not in _unpacked:
+                _unpacked.clear()
+                _unpacked[self.key] = np.frombuffer(zlib.decompress(self.packed.value), np.uint16).reshape(ORDER, 1 << SLOT_BITS, 2)
+            self._tables = _unpacked[self.key]
+        return self._tables
+
     def inputs(self, key: np.ndarray, without: bool) -> tuple[np.ndarray, ...]:
         """(logits of the predictors and a 1, longest seen order, its count's class, bits so far, the bit), by bit."""
         slot, node, bit = _slots(key)
@@ -156,29 +180,36 @@ def _sum_sorted(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key[order][at[:-1]], np.add.reduceat(count[order], at[:-1]) if len(key) else count
 
 
-def _run_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct byte runs of training texts (column bytes) with counts, in PARTS ranges of the two bytes before."""
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key = np.sort(key)
+    at = runs(key)
+    return key[at[:-1]], np.diff(at)
+
 
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        key = np.sort(np.concatenate(held))
-        at = runs(key)
-        key, count = key[at[:-1]], np.diff(at)
-        part = (mix(key >> U(32)) % U(PARTS)).astype(np.int32)
+def _run_counts(parts: int):
+    """Distinct byte runs of training texts (column bytes) with counts, in ranges of the two bytes before."""
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, count = _sum_sorted(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        part = (mix(key >> U(32)) % U(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(PARTS + 1))
-        rows = [(p, 0, key[x].tobytes(), count[x].astype(np.int64).tobytes()) for p in range(PARTS) for x in [order[ends[p] : ends[p + 1]]] if len(x)]
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, 0, key[x].tobytes(), count[x].astype(np.int64).tobytes()) for p in range(parts) for x in [order[ends[p] : ends[p + 1]]] if len(x)]
         return _blob_rows(_NAMES, rows, _TYPES)
 
-    held, size = [], 0
-    for batch in batches:
-        for _, _, data, offsets in chunks(batch.column(0)):
-            held.append(byte_runs(data, offsets)[0])
-            size += len(data)
-            if size >= TAKE:
-                yield flush(held)
-                held, size = [], 0
-    if held:
-        yield flush(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0), PIECE):
+                held.append(_distinct(byte_runs(data, offsets)[0]))
+                size += len(data)
+                if size >= TAKE:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
 
 
 def _merge_runs(key: tuple, t: pa.Table) -> pa.Table:
@@ -216,14 +247,14 @@ def _merge_bits(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([0], pa.int64()), "a": pa.array([pair.astype(np.uint16).tobytes()], pa.binary()), "b": pa.array([b""], pa.binary())})
 
 
-def train(texts: DataFrame, store: Store) -> Model:
+def train(texts: DataFrame, store: Store, bits: int = PART_BITS) -> Model:
     """texts: column bytes. Counts of all of them, then the gates' weights (averages of tasks' online learning) and the adaptive table."""
-    grams = store.cut(texts.mapInArrow(_run_counts, BLOB).groupBy("part").applyInArrow(_merge_runs, BLOB), "runs")
+    grams = store.cut(texts.mapInArrow(_run_counts(1 << bits), BLOB).groupBy("part").applyInArrow(_merge_runs, BLOB), "runs")
     tables = np.zeros((ORDER, 1 << SLOT_BITS, 2), np.uint16)
     for row in grams.mapInArrow(_bit_counts, BLOB).groupBy("part").applyInArrow(_merge_bits, BLOB).toLocalIterator():
         o, s = row["part"] >> (SLOT_BITS - SLICE_BITS), row["part"] & ((1 << (SLOT_BITS - SLICE_BITS)) - 1)
         tables[o, s << SLICE_BITS : (s + 1) << SLICE_BITS] = np.frombuffer(row["a"], np.uint16).reshape(-1, 2)
-    model = Model(tables)
+    model = Model(tables, texts.sparkSession)
     spread = grams.repartition(12, F.xxhash64("part", "block"))
     for epoch in range(_EPOCHS):
 
@@ -255,7 +286,14 @@ def train(texts: DataFrame, store: Store) -> Model:
     return model
 
 
-def _block_words(key: tuple, t: pa.Table) -> pa.Table:
+def _block_words(bits: int):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        return _words_of(key, t, bits)
+
+    return run
+
+
+def _words_of(key: tuple, t: pa.Table, bits: int) -> pa.Table:
     """Of a block of texts, the distinct words with how often training texts have them, by range of hashes."""
     held, count = [], []
     column, train_rows = t.column("bytes").combine_chunks(), t.column("held_out").combine_chunks().to_numpy(zero_copy_only=False)
@@ -268,8 +306,8 @@ def _block_words(key: tuple, t: pa.Table) -> pa.Table:
             held += [packed[at[:-1]], np.full(1, END_WORD & ~U(1), np.uint64)]
             count += [np.where(packed[at[:-1]] & U(1), np.diff(at), 0), np.array([learned.sum()])]
     k, c = _sum_sorted(np.concatenate(held) & ~U(1), np.concatenate(count).astype(np.int64))
-    ends = np.searchsorted(k, np.arange(PARTS, dtype=np.uint64) << U(64 - 6)).tolist() + [len(k)]
-    rows = [(p, key[0].as_py(), k[ends[p] : ends[p + 1]].tobytes(), c[ends[p] : ends[p + 1]].astype(np.int64).tobytes()) for p in range(PARTS) if ends[p + 1] > ends[p]]
+    ends = np.searchsorted(k, np.arange(1 << bits, dtype=np.uint64) << U(64 - bits)).tolist() + [len(k)]
+    rows = [(p, key[0].as_py(), k[ends[p] : ends[p + 1]].tobytes(), c[ends[p] : ends[p + 1]].astype(np.int64).tobytes()) for p in range(1 << bits) if ends[p + 1] > ends[p]]
     return pa.Table.from_batches([_blob_rows(_NAMES, rows, _TYPES)])
 
 
@@ -321,10 +359,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("bytes"))
     base = base.withColumn("held_out", fold("doc_id", folds) == held_out)
     size = base.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
-    model = train(base.filter("not held_out").select("bytes"), store)
+    bits = min(14, max(PART_BITS, (int(size) >> 24).bit_length()))
+    model = train(base.filter("not held_out").select("bytes"), store, bits)
     blocks = max(1, -(-int(size) // BLOCK))
     placed = base.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("bytes")), F.lit(blocks)))
-    seen = placed.groupBy("block").applyInArrow(_block_words, BLOB)
+    seen = placed.groupBy("block").applyInArrow(_block_words(bits), BLOB)
     counts = store.cut(seen.groupBy("part").applyInArrow(_total_words, BLOB), "counts")
     ends = [np.frombuffer(r[0], np.int64) for r in counts.filter("block = -1").select("b").collect()]
     n_train, v_train = (int(sum(e[i] for e in ends)) for i in (0, 1))
