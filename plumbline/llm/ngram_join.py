@@ -16,7 +16,8 @@ So a large group of near copies costs its size, not its square, and no link betw
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import Store, skew_join, text_or_empty
 from .graph import components
-from .textnum import U, chunks, mix, runs, shingles, words
+from .textnum import CHUNK, U, chunks, mix, runs, shingles, words
 
 #: Bytes of text whose tokens a task packs together, and code points of text for each range of tokens.
-BLOCK, PART_CHARS = 16 << 20, 8 << 20
+BLOCK, PART_CHARS = 8 << 20, 4 << 20
 #: A token in so many documents of one block travels once for them all.
 HEAVY = 256
 _NONE = 0xFFFF
@@ -63,8 +64,8 @@ def _ends(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-def _pack(k: int, bits: int):
-    """Packs blocks of documents: a row for each token range, and one (part below 0) with the documents themselves."""
+def _pack(sets_of: Callable[[np.ndarray, np.ndarray], tuple], bits: int, size: int = CHUNK):
+    """Packs blocks of documents by their sets (as `sets` gives them): a row for each token range, and one (part below 0) with the documents themselves."""
 
     def rows(block: int, ids: list, ns: list, sigs: list, toks: list) -> Iterator[tuple]:
         id_, n, sig = np.concatenate(ids), np.concatenate(ns), np.concatenate(sigs)
@@ -99,8 +100,8 @@ def _pack(k: int, bits: int):
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                bound, tokens, _ = sets(data, offsets, k)
+            for lo, hi, data, offsets in chunks(batch.column(1), size):
+                bound, tokens, _ = sets_of(data, offsets)
                 sig = np.stack(signatures(bound, tokens))
                 for x, v in zip(parts, (ids[lo:hi], np.diff(bound), sig.T.copy(), tokens), strict=True):
                     x.append(v)
@@ -144,28 +145,33 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, table.schema, strict=True)], schema=table.schema)
 
 
+def _unpack(table: pa.Table, bits: int) -> tuple[np.ndarray, ...]:
+    """Of a block: (id, set size, signatures) of its documents, and (token, document, frequency) of what they share."""
+    parts, a, b, c, d = (table.column(x).to_pylist() for x in ("part", "a", "b", "c", "d"))
+    head = next(i for i, p in enumerate(parts) if p < 0)
+    ids, n, sig = np.frombuffer(a[head], np.int64), np.frombuffer(b[head], np.int32).astype(np.int64), np.frombuffer(c[head], np.uint64).reshape(-1, 2)
+    k = int(np.frombuffer(d[head][-8:], np.int64)[0])
+    heavy, size = np.frombuffer(d[head][: 8 * k], np.uint64), np.frombuffer(d[head][len(d[head]) - 8 - 4 * k : len(d[head]) - 8], np.uint32)
+    held = np.frombuffer(d[head][8 * k : len(d[head]) - 8 - 4 * k], np.uint16)
+    rest = [i for i in range(len(parts)) if i != head]
+    top = [np.full(len(a[i]) // 8, parts[i] << (40 - bits), np.uint64) if bits >= 8 else np.zeros(len(a[i]) // 8, np.uint64) for i in rest]
+    token = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(a[i], np.uint64) | t for i, t in zip(rest, top, strict=True)]])
+    doc = np.concatenate([np.zeros(0, np.uint16), *[np.frombuffer(b[i], np.uint16) for i in rest]])
+    df = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(c[i], np.uint32) for i in rest]])
+    big = doc == _NONE
+    if big.any():
+        start = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        more = [held[start[i] : start[i + 1]] for i in np.searchsorted(heavy, token[big])]
+        lengths = [len(x) for x in more]
+        token, df = np.concatenate((token[~big], np.repeat(token[big], lengths))), np.concatenate((df[~big], np.repeat(df[big], lengths)))
+        doc = np.concatenate((doc[~big], *more))
+    return ids, n, sig, token, doc, df
+
+
 def _prefixes(percent: int, bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Of a block, a row for each document (token null) and for each shared token in its prefix by (frequency, token)."""
-        parts, a, b, c, d = (table.column(x).to_pylist() for x in ("part", "a", "b", "c", "d"))
-        head = next(i for i, p in enumerate(parts) if p < 0)
-        ids, n, sig = np.frombuffer(a[head], np.int64), np.frombuffer(b[head], np.int32).astype(np.int64), np.frombuffer(c[head], np.uint64).reshape(-1, 2)
-        k = int(np.frombuffer(d[head][-8:], np.int64)[0])
-        heavy, size = np.frombuffer(d[head][: 8 * k], np.uint64), np.frombuffer(d[head][len(d[head]) - 8 - 4 * k : len(d[head]) - 8], np.uint32)
-        held = np.frombuffer(d[head][8 * k : len(d[head]) - 8 - 4 * k], np.uint16)
-        rest = [i for i in range(len(parts)) if i != head]
-        top = [np.full(len(a[i]) // 8, parts[i] << (40 - bits), np.uint64) if bits >= 8 else np.zeros(len(a[i]) // 8, np.uint64) for i in rest]
-        token = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(a[i], np.uint64) | t for i, t in zip(rest, top, strict=True)]])
-        doc = np.concatenate([np.zeros(0, np.uint16), *[np.frombuffer(b[i], np.uint16) for i in rest]])
-        df = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(c[i], np.uint32) for i in rest]])
-        big = doc == _NONE
-        if big.any():
-            start = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-            at = np.searchsorted(heavy, token[big])
-            more = [held[start[i] : start[i + 1]] for i in at]
-            lengths = [len(x) for x in more]
-            token, df = np.concatenate((token[~big], np.repeat(token[big], lengths))), np.concatenate((df[~big], np.repeat(df[big], lengths)))
-            doc = np.concatenate((doc[~big], *more))
+        ids, n, sig, token, doc, df = _unpack(table, bits)
         order = np.lexsort((token, df, doc))
         doc, token = doc[order].astype(np.int64), token[order]
         first = np.searchsorted(doc, np.arange(len(n) + 1))
@@ -241,7 +247,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = base.filter("doc_id is not null")
     chars = docs.agg(F.sum(F.length(text_or_empty(text_col)))).first()[0] or 0
     bits = min(16, max(0, (int(chars) // PART_CHARS).bit_length()))
-    packed = known.mapInArrow(_pack(k, bits), PACKED)
+    packed = known.mapInArrow(_pack(partial(sets, k=k), bits), PACKED)
     shared = packed.groupBy("part").applyInArrow(_shared, PACKED)
     found = store.cut(shared.groupBy("block").applyInArrow(_prefixes(percent, bits), FOUND), "found")
     rows = found.filter("token is null").drop("token", "pos")

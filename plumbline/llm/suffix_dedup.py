@@ -3,6 +3,8 @@
 Dealing suffixes to tasks. Each window of `length` bytes has one anchor: of the k-byte runs that start in its first
 length - k + 1 positions, the one with the least hash, the first of these. Equal windows have equal anchors at equal
 places, so dealing anchors by hash brings equal windows together, and a window whose anchor occurs once is unique.
+Which anchors occur in
+several texts, or several times, is found as in the n-gram join: from packed hashes by range.
 The windows of one anchor are neighbours: an occurrence is a context, one stretch of text that holds them all. Equal
 contexts collapse to their first occurrence before anything is sorted.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Store, skew_join, text_or_empty
+from .ngram_join import PACKED, _pack, _shared, _unpack, signatures
 from .textnum import U, _power, chunks, mix, runs
 
 LENGTH, K = 100, 32
-#: Contexts that a sorting task takes at once, about; a group of contexts of one anchor is never split.
-TASK_CONTEXTS = 8192
+#: Contexts for a sorting task, about, and those that it sorts at once (which should fit a core's cache); contexts of one
+#: anchor are never split.
+TASK_CONTEXTS, BATCH = 8192, 512
+#: Bytes of text for each range of anchors, and that are looked at together.
+PART_BYTES, CHUNK = 32 << 20, 1 << 18
 _LETTER = 8
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
@@ -72,8 +79,17 @@ def _name(*keys: np.ndarray) -> np.ndarray:
             key = key.astype(np.uint64)
         key = key * U(t) + k.astype(np.uint64)
         bound *= t
-    own = np.sort(key)
-    return np.searchsorted(own[runs(own)[:-1]], key)
+    order = np.argsort(key)
+    key = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1]))) if len(key) else 0
+    return out
+
+
+def _below(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """How many of the values are under each number asked for; all are small numbers."""
+    size = max(int(values.max(initial=0)), int(asked.max(initial=0))) + 1
+    return np.concatenate(([0], np.cumsum(np.bincount(values, minlength=size))))[asked]
 
 
 def _merge(low: tuple[np.ndarray, ...], high: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,51 +98,49 @@ def _merge(low: tuple[np.ndarray, ...], high: tuple[np.ndarray, ...]) -> tuple[n
     return both[: len(low[0])], both[len(low[0]) :]
 
 
-def suffix_ranks(letters: np.ndarray, step: int, length: int) -> np.ndarray:
-    """Ranks of the suffixes at all positions of each row, by `length` letters' bytes at least; equal ones rank alike.
+def suffix_ranks(letters: np.ndarray, step: int, length: int, domain: np.ndarray, wanted: int) -> np.ndarray:
+    """Ranks of the suffixes at the positions of `domain` below `wanted`, by `length` bytes at least; equal ones rank alike.
 
-    letters: rows x positions, numbers in the order of the `step` bytes at a position; 0 where a row has ended.
+    letters: rows x positions, numbers in the order of the `step` bytes at a position, at the positions of domain; 0
+    where a row has ended.
     """
     rows, width = letters.shape
 
-    def at(x: np.ndarray, ahead: int) -> np.ndarray:
+    def at(x: np.ndarray, cols: np.ndarray, ahead: int) -> np.ndarray:
         """What stands `ahead` positions on, 0 past the end."""
-        out = np.zeros_like(x)
-        if ahead < width:
-            out[:, : width - ahead] = x[:, ahead:]
-        return out
+        out = np.zeros((rows, len(cols)), x.dtype)
+        inside = cols + ahead < width
+        out[:, inside] = x[:, cols[inside] + ahead]
+        return out.ravel()
 
-    residue = np.arange(width) // step % 3
-    cover = np.flatnonzero(residue > 0)
+    residue = domain // step % 3
+    cover = domain[residue > 0]
     names = np.zeros((rows, width), np.int64)
-    one, two = at(letters, step), at(letters, 2 * step)
-    names[:, cover] = (_name(letters[:, cover].ravel(), one[:, cover].ravel(), two[:, cover].ravel()) + 1).reshape(rows, -1)
+    names[:, cover] = (_name(at(letters, cover, 0), at(letters, cover, step), at(letters, cover, 2 * step)) + 1).reshape(rows, -1)
     if 3 * step < length:
         # The cover's own suffixes: three letters to a letter, so what follows a name is three steps on.
-        wide = names.copy()
-        sub = suffix_ranks(wide, 3 * step, length)
-        names[:, cover] = (_name(names[:, cover].ravel(), sub[:, cover].ravel()) + 1).reshape(rows, -1)
-    rank1, rank2 = at(names, step), at(names, 2 * step)
-    rest, c1, c2 = (np.flatnonzero(residue == r) for r in (0, 1, 2))
+        names = suffix_ranks(names, 3 * step, length, cover, wanted + 2 * step)
+    near = domain[domain < wanted]
+    rest, c1, c2 = (near[near // step % 3 == r] for r in (0, 1, 2))
+    if not len(rest):
+        return names
 
-    def keys(cols: np.ndarray, deep: bool) -> tuple[np.ndarray, ...]:
-        if deep:
-            return letters[:, cols].ravel(), one[:, cols].ravel(), rank2[:, cols].ravel()
-        return letters[:, cols].ravel(), rank1[:, cols].ravel()
+    def keys(cols: np.ndarray, two: bool) -> tuple[np.ndarray, ...]:
+        if two:
+            return at(letters, cols, 0), at(letters, cols, step), at(names, cols, 2 * step)
+        return at(letters, cols, 0), at(names, cols, step)
 
     # A remaining position meets residue 1 by (letter, rank one step on) and residue 2 by (two letters, rank two on).
     low, high = _merge(keys(rest, False), keys(c1, False))
     low2, high2 = _merge(keys(rest, True), keys(c2, True))
-    own = names[:, cover].ravel()
-    below1, below2 = np.sort(high), np.sort(high2)
-    of1, of2 = names[:, c1].ravel(), names[:, c2].ravel()
     # A common scale: how many of each part come before, so that equal suffixes of all parts agree.
-    sorted_own, sorted_low, sorted_low2 = np.sort(own), np.sort(low), np.sort(low2)
-    out = np.zeros((rows, width), np.int64)
-    out[:, rest] = (np.searchsorted(sorted_low, low) + np.searchsorted(below1, low) + np.searchsorted(below2, low2)).reshape(rows, -1)
-    out[:, c1] = (np.searchsorted(sorted_own, of1) + np.searchsorted(sorted_low, high)).reshape(rows, -1)
-    out[:, c2] = (np.searchsorted(sorted_own, of2) + np.searchsorted(sorted_low2, high2)).reshape(rows, -1)
-    return out + 1
+    first, second = at(names, c1, 0), at(names, c2, 0)
+    own = np.concatenate((first, second))
+    out = names if 3 * step < length else np.zeros((rows, width), np.int64)
+    out[:, rest] = (_below(low, low) + _below(high, low) + _below(high2, low2) + 1).reshape(rows, -1)
+    out[:, c1] = (_below(own, first) + _below(low, high) + 1).reshape(rows, -1)
+    out[:, c2] = (_below(own, second) + _below(low2, high2) + 1).reshape(rows, -1)
+    return out
 
 
 def first_windows(contexts: list[bytes], order: list[tuple], length: int) -> list[np.ndarray]:
@@ -141,8 +155,9 @@ def first_windows(contexts: list[bytes], order: list[tuple], length: int) -> lis
         wide = (wide << U(8)) | raw[:, j : j + width].astype(np.uint64)
     letters = (_name(wide.ravel()) + 1).reshape(wide.shape)
     letters[np.arange(width)[None, :] >= size[:, None]] = 0
-    rank = suffix_ranks(letters, _LETTER, length)
-    row, col = np.nonzero(np.arange(width)[None, :] <= (size - length)[:, None])
+    wanted = max(1, int(size.max()) - length + 1)
+    rank = suffix_ranks(letters, _LETTER, length, np.arange(width), wanted)
+    row, col = np.nonzero(np.arange(wanted)[None, :] <= (size - length)[:, None])
     by = np.lexsort((col, row, rank[row, col]))
     row, col = row[by], col[by]
     text = np.lib.stride_tricks.sliding_window_view(raw, length, axis=1)
@@ -157,38 +172,52 @@ def first_windows(contexts: list[bytes], order: list[tuple], length: int) -> lis
     by = np.lexsort((starts[row] + col, texts[row], group))
     row, col, group = row[by], col[by], group[by]
     later = np.concatenate(([False], group[1:] == group[:-1]))
-    out = [np.zeros(max(0, n - length + 1), bool) for n in size]
-    for r, c in zip(row[later].tolist(), col[later].tolist(), strict=True):
-        out[r][c] = True
-    return out
+    flags = np.zeros((len(contexts), wanted), bool)
+    flags[row[later], col[later]] = True
+    return [flags[i, : max(0, n - length + 1)] for i, n in enumerate(size)]
 
 
-def _spread_anchors(length: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                doc, h, start, windows, place = anchors(data, offsets, length, k)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array(tags[lo:hi][doc]), pa.array(start.astype(np.int32)), pa.array((windows << 8 | place).astype(np.int32))], ["h", "doc_id", "tag", "start", "shape"])
+def _anchor_sets(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first anchor of each text and the end, anchors' hashes of 52 bits by text, text of each); repeats count as shared."""
+    doc, h, *_ = anchors(data, offsets, length, k)
+    packed = np.sort((doc.astype(np.uint64) << U(52)) | (h >> U(12)))
+    doc = (packed >> U(52)).astype(np.int64)
+    return np.searchsorted(doc, np.arange(len(offsets))), packed & U((1 << 52) - 1), doc
+
+
+def _lists(bits: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Of a block, the texts that share anchors with others, with those anchors (40 bits each, sorted)."""
+        ids, n, sig, token, doc, _ = _unpack(table, bits)
+        order = np.lexsort((token, doc))
+        token, ends = token[order], np.searchsorted(doc[order], np.arange(len(n) + 1))
+        has = np.flatnonzero(np.diff(ends))
+        blobs = [token[ends[i] : ends[i + 1]].tobytes() for i in has]
+        return pa.table([pa.array(ids[has]), pa.array(sig[has, 0].view(np.int64)), pa.array(sig[has, 1].view(np.int64)), pa.array(blobs, pa.binary())], names=["doc_id", "sig1", "sig2", "tokens"])
 
     return run
 
 
-def _contexts(length: int):
+def _contexts(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, tags, lists = (batch.column(i).to_pylist() for i in range(4))
-            h, doc, tag, start, shape, ctx = [], [], [], [], [], []
-            for i, text, t, found in zip(ids, texts, tags, lists, strict=True):
-                for x in found:
-                    h.append(x["h"])
-                    doc.append(i)
-                    tag.append(t)
-                    start.append(x["start"])
-                    shape.append(x["shape"])
-                    ctx.append(text[x["start"] : x["start"] + (x["shape"] >> 8) + length - 1])
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((h, doc, tag, start, shape, ctx), types, strict=True)], ["h", "doc_id", "tag", "start", "shape", "ctx"])
+            ids, tags, one, two = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4))
+            lists = batch.column(5).to_pylist()
+            for lo, hi, data, offsets in chunks(batch.column(1), CHUNK):
+                bound, tokens, _ = _anchor_sets(data, offsets, length, k)
+                sig = signatures(bound, tokens)
+                # Of rows that repeat an id, each has the list of its own text only.
+                own = (sig[0].view(np.int64) == one[lo:hi]) & (sig[1].view(np.int64) == two[lo:hi])
+                held = [np.frombuffer(x, np.uint64) if o else np.zeros(0, np.uint64) for x, o in zip(lists[lo:hi], own, strict=True)]
+                shared = np.concatenate(held) | (np.repeat(np.arange(hi - lo), [len(x) for x in held]).astype(np.uint64) << U(40))
+                doc, h, start, windows, place = anchors(data, offsets, length, k)
+                mine = (doc.astype(np.uint64) << U(40)) | (h >> U(24))
+                at = np.minimum(np.searchsorted(shared, mine), max(len(shared) - 1, 0))
+                keep = np.flatnonzero(shared[at] == mine) if len(shared) else np.zeros(0, np.int64)
+                doc, h, start, windows, place = (x[keep] for x in (doc, h, start, windows, place))
+                raw, begin = data.tobytes(), (offsets[doc] + start).tolist()
+                ctx = [raw[a : a + n + length - 1] for a, n in zip(begin, windows.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array(tags[lo:hi][doc]), pa.array(start.astype(np.int32)), pa.array((windows << 8 | place).astype(np.int32)), pa.array(ctx, pa.binary())], ["h", "doc_id", "tag", "start", "shape", "ctx"])
 
     return run
 
@@ -202,7 +231,7 @@ def _sort_task(length: int):
         gone: list[bytes] = [b""] * len(h)
         lo = 0
         while lo < len(edge) - 1:
-            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + TASK_CONTEXTS, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + BATCH, "right")) - 1)
             at = by[edge[lo] : edge[hi]]
             order = [(first[i]["doc_id"], first[i]["tag"], first[i]["start"]) for i in at]
             for i, bits in zip(at, first_windows([ctx[i] for i in at], order, length), strict=True):
@@ -255,14 +284,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("bytes")).withColumn("tag", (F.crc32("bytes") % 2147483647).cast("int"))
     long = base.filter((F.length("bytes") >= length) & F.col("doc_id").isNotNull())
-    found = long.select("doc_id", "bytes", "tag").mapInArrow(_spread_anchors(length, k), "h long, doc_id long, tag int, start int, shape int")
-    often = found.select("h").groupBy("h").count().filter("count > 1").select("h")
-    often = store.cut(often, "often")
-    shared = found.join(often, "h", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("h", "start", "shape")).alias("found"))
-    shared = store.cut(shared, "shared")
+    size = base.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
+    bits = min(16, max(0, (int(size) // PART_BYTES).bit_length()))
+    packed = long.select("doc_id", "bytes").mapInArrow(_pack(partial(_anchor_sets, length=length, k=k), bits, CHUNK), PACKED)
+    lists = packed.groupBy("part").applyInArrow(_shared, PACKED).groupBy("block").applyInArrow(_lists(bits), "doc_id long, sig1 long, sig2 long, tokens binary")
+    lists = store.cut(lists, "lists")
     rest()
-    occ = long.join(shared, ["doc_id", "tag"]).select("doc_id", "bytes", "tag", "found")
-    occ = occ.mapInArrow(_contexts(length), "h long, doc_id long, tag int, start int, shape int, ctx binary")
+    occ = long.join(lists, "doc_id").select("doc_id", "bytes", "tag", "sig1", "sig2", "tokens")
+    occ = occ.mapInArrow(_contexts(length, k), "h long, doc_id long, tag int, start int, shape int, ctx binary")
     occ = occ.withColumn("c1", F.xxhash64("ctx", "shape")).withColumn("c2", F.xxhash64(F.lit(1), "ctx", "shape"))
     occ = store.cut(occ, "occurrences")
     rest()
@@ -283,7 +312,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = marked.filter("first is not null").filter(~is_first | F.col("gone").isNotNull())
     marked = marked.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "shape", F.when(is_first, F.col("gone")).alias("gone"))).alias("found"))
     marked = store.cut(marked, "marked")
-    store.drop("occurrences", "classes", "final", "sorted", "shared", "often")
+    store.drop("occurrences", "classes", "final", "sorted", "lists")
     rest()
     out = base.join(marked.withColumnsRenamed({"doc_id": "_doc", "tag": "_tag"}), (F.col("doc_id") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "bytes", "found")
     return out.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
