@@ -1,10 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval, then longest common subsequences and answers.
 
 The benchmark's passages, as TF-IDF rows (word weights from document frequencies over all documents), are factored by a
-distributed randomised SVD. Each document's overlapping windows of words are projected into that latent space; windows
-close to an item by cosine, and with a share of its weight, are candidates; most windows cannot reach that share by the
-sum of their words' greatest contributions to any item, and need no projection. A candidate is a leak if the longest common subsequence of words, over the
-window and an item's length around it, covers enough of the item, and enough of the item's answer (its last words).
+distributed randomised SVD. Each document's overlapping windows of words are projected into that latent space. What they
+are compared with are the items' own passages of a window's size, so that nothing depends on an item's length: windows
+close to a passage by cosine, and with a share of its weight, are candidates for its item; most windows cannot reach that
+share by the sum of their words' greatest contributions to any passage, and need no projection. A candidate is a leak if
+the longest common subsequence of words, over the window and an item's length around it, covers enough of the item, and
+enough of the item's answer (its last words).
 """
 
 from __future__ import annotations
@@ -17,14 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import SPACE, text_or_empty
 from .textnum import U, chunks, runs, words
 
-#: Bits of hashed words for document frequencies; latent dimensions; half a window; benchmark items searched at once.
+#: Bits of hashed words for document frequencies; latent dimensions; half a window; passages of items searched at once.
 BITS, RANK, STEP, ITEMS = 18, 128, 16, 4096
-#: Least cosine of a candidate, and least share of an item's latent weight that its window holds (a window may have less
-#: than half of a long item, and a paraphrase less than all of that); least shares of item and answer that a common
-#: subsequence covers.
+#: Least cosine of a candidate, and least share of a passage's latent weight that its window holds (a window lies across
+#: passages, and a paraphrase has less than all of one); least shares of item and answer that a common subsequence covers.
 COSINE, WEIGHT, COVER, ANSWER_COVER = 0.2, 0.22, 0.6, 0.5
 FOUND = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, start_word long"
 
@@ -108,6 +109,11 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def passages_of(n: int) -> list[int]:
+    """Where the passages of an item of n words start: half-overlapping, of a window's size or the whole shorter item."""
+    return [min(at, max(0, n - 2 * STEP)) for at in range(0, max(1, n - STEP), STEP)]
+
+
 def answer(item: list[int]) -> list[int]:
     """An item's answer: its last quarter of words, three at least."""
     return item[-max(3, len(item) // 4) :]
@@ -122,14 +128,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Items without words (or null) leak nowhere; documents without words leak nothing. Rows without an id are not looked
     at; rows that repeat an id give the best of them. The benchmark is the stated query set: it is collected and searched
-    in blocks of `items_at_once`, each against all windows of all documents.
+    in blocks of items with `items_at_once` passages or fewer (or one item), each against all windows of all documents.
+    `cosine` is the least one of a window with a passage; the result's cosine is with the whole item.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("bytes")).filter("doc_id is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(text_col).cast("binary").alias("bytes")).filter("item_id is not null")
     frequency, n_docs, out = word_frequencies(base.select("bytes")), base.count(), None
-    ids = [r[0] for r in items.select("item_id").distinct().orderBy("item_id").collect()]
-    for lo in range(0, len(ids), items_at_once):
-        block = items.filter(F.col("item_id").between(ids[lo], ids[min(lo + items_at_once, len(ids)) - 1]))
+    n_words = F.size(F.regexp_extract_all(F.col("bytes").cast("string"), F.lit(f"[^{SPACE[1:-1]}]+"), F.lit(0)))
+    sizes = [(i, sum(len(passages_of(n)) for n in ns)) for i, ns in items.groupBy("item_id").agg(F.collect_list(n_words)).orderBy("item_id").collect()]
+    spans: list[list[int]] = []  # first item, last item, passages
+    for i, n in sizes:
+        if spans and spans[-1][2] + n <= items_at_once:
+            spans[-1][1:] = i, spans[-1][2] + n
+        else:
+            spans.append([i, i, n])
+    for first_id, last_id, _ in spans:
+        block = items.filter(F.col("item_id").between(first_id, last_id))
         part = _search(base, block, frequency, n_docs, rank, cosine, cover, answer_cover)
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -156,19 +170,25 @@ def _search(base: DataFrame, items: DataFrame, frequency: np.ndarray, n_docs: in
         return base.sparkSession.createDataFrame([], FOUND)
     idf = np.log((n_docs + 1) / (frequency[used] + 0.5)).clip(0.05)
     basis = randomised_svd(items.select("bytes"), column, idf, rank)
-    vectors = np.zeros((len(told), basis.shape[1]))
+    vectors, parts, whose = np.zeros((len(told), basis.shape[1])), [], []
     for i, (_, item) in enumerate(told):
         c = column[_slot(np.array(item, np.uint64))]
-        vectors[i] = (basis[c] * idf[c][:, None]).sum(0)
+        each = basis[c] * idf[c][:, None]
+        vectors[i] = each.sum(0)
+        for at in passages_of(len(item)):
+            parts.append(each[at : at + 2 * STEP].sum(0))
+            whose.append(i)
+    queries, owner = np.array(parts), np.array(whose)
     vocabulary = [frozenset(item) for _, item in told]
-    norm = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
+    norm = np.maximum(np.linalg.norm(queries, axis=1), 1e-9)
     weighted = (basis * idf[:, None]).astype(np.float32)
-    # A word's greatest contribution to a window's share of any item, in blocks of items to bound the memory.
+    # A word's greatest contribution to a window's share of any passage, in blocks of passages to bound the memory.
     most = np.zeros(len(used))
-    for lo in range(0, len(told), 512):
-        most = np.maximum(most, (weighted.astype(float) @ vectors[lo : lo + 512].T / norm[lo : lo + 512] ** 2).max(1))
+    for lo in range(0, len(queries), 512):
+        most = np.maximum(most, (weighted.astype(float) @ queries[lo : lo + 512].T / norm[lo : lo + 512] ** 2).max(1))
     least = (WEIGHT * norm).astype(np.float32)
-    vectors = (vectors / norm[:, None]).astype(np.float32).T.copy()
+    queries = (queries / norm[:, None]).astype(np.float32).T.copy()
+    vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +206,7 @@ def _search(base: DataFrame, items: DataFrame, frequency: np.ndarray, n_docs: in
                 own = first[doc] + (place - w.bound[doc]) // STEP
                 follows = np.ones(first[-1], bool)
                 follows[first[1:][blocks > 0] - 1] = False  # a text's last block stands alone
-                bound = np.bincount(own, most[c[place]], first[-1])
+                bound = np.bincount(own, most[c[place]], first[-1]).astype(float)  # of nothing it is whole numbers
                 bound[:-1] += np.where(follows[:-1], bound[1:], 0.0)
                 window_at = np.flatnonzero(bound >= WEIGHT)
                 if not len(window_at):
@@ -202,11 +222,15 @@ def _search(base: DataFrame, items: DataFrame, frequency: np.ndarray, n_docs: in
                     sums[own[at]] = np.add.reduceat(weighted[c[place]], at, axis=0)
                 window = sums[window_at] + np.where(follows[window_at][:, None], sums[window_at + 1], np.float32(0))
                 size = np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-                dot = window @ vectors
-                hit = np.argwhere((dot >= cosine * size) & (dot >= least))
+                found = []  # window * items + item, each once
+                for q in range(0, len(owner), ITEMS):
+                    dot = window @ queries[:, q : q + ITEMS]
+                    near = np.argwhere((dot >= cosine * size) & (dot >= least[q : q + ITEMS]))
+                    found.append(near[:, 0] * len(told) + owner[q + near[:, 1]])
+                hit = np.stack(np.divmod(np.unique(np.concatenate(found)), len(told)), 1)
                 if not len(hit):
                     continue
-                close = dot[hit[:, 0], hit[:, 1]] / size[hit[:, 0], 0]
+                close = np.einsum("nr,nr->n", window[hit[:, 0]], vectors[hit[:, 1]]) / size[hit[:, 0], 0]
                 hit[:, 0] = window_at[hit[:, 0]]
                 of = np.searchsorted(first, hit[:, 0], "right") - 1
                 best: dict[tuple[int, int], tuple] = {}

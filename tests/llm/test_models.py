@@ -139,3 +139,23 @@ def test_leaks_against_brute_force(spark, odd, empty):
     assert decontaminate.find_leaks(odd, bench).count() == decontaminate.find_leaks(empty, bench).count() == 0
     assert decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
     assert decontaminate.drop_leaks(odd, bench).count() == 4
+
+
+def test_leaks_of_long_items(spark):
+    """A copy or paraphrase is found whatever the item's length, beside items of all lengths."""
+    rng = random.Random(4)
+
+    def prose(n):
+        return [f"v{int(rng.paretovariate(0.4)) % 30_000}" for _ in range(n)]
+
+    items = [prose(n) for n in (20, 40, 100, 150, 200, 300, 400, 700, 1000) for _ in range(3)]
+    rows = []
+    for i, item in enumerate(items):
+        rows.append((2 * i, " ".join(prose(150) + item + prose(150))))
+        rows.append((2 * i + 1, " ".join(prose(150) + [f"x{j}" if j % 4 == 1 else w for j, w in enumerate(item)] + prose(150))))
+    rows += [(1000 + i, " ".join(prose(300))) for i in range(100)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for at_once in (decontaminate.ITEMS, 50):  # the latter: several blocks, longer items alone
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, items_at_once=at_once).collect()}
+        assert {(2 * i + k, i) for i in range(len(items)) for k in (0, 1)} <= got
