@@ -23,6 +23,8 @@ from .textnum import U, chunks, runs, words
 
 #: Slots of hashed features; features kept at most; rows of a sample at most (of positives, and of unlabelled texts).
 BITS, FEATURES, SAMPLE = 22, 1024, 20_000
+#: Bits of the bitmap of confirmed ids.
+ID_BITS = 23
 #: A feature's count among positives must be this unlikely by chance, and this share of the texts with it toxic.
 LEAST_G, LEAST_SHARE = 9.0, 0.4
 TRAIN_FOLDS, HELD_OUT = 4, 2
@@ -59,6 +61,23 @@ def _doc_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
 
+def _may_have(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, bytes) with one of the ids, and few others, so that other texts need no shuffle: by a
+    bitmap of hashed ids, of fixed size."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
+    got = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (ID_BITS - 5), np.int64)
+    bitmap[got.column("at").to_numpy()] = got.column("bits").to_numpy()
+    bitmap = bitmap.astype(np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array((bitmap[s >> 5] >> (s & 31).astype(np.uint32)) & 1 == 1))
+
+    return docs.select("doc_id", "bytes", slot.alias("s")).mapInArrow(run, "doc_id long, bytes binary")
+
+
 def _hits(slot: np.ndarray):
     """Of texts (id, bytes), the chosen features that they have, as packed int16."""
 
@@ -120,7 +139,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Rows whose crc32(id as text) modulo 4 is 2 are held out: neither their labels nor their texts are learned from.
     Positives and unlabelled texts are fitted on at most `sample` each, first in a seeded order of ids; feature counts
-    are over all training texts. Null labels are no labels; several labels of an id count as toxic if one does. Null
+    are over all training texts and all confirmed ones, copies included. Null labels are no labels; several labels of an id count as toxic if one does. Null
     text is empty and gets the score of a text without features. Without positives every score is the prior, 0. Rows
     without an id are scored and belong to no training fold. Extra columns are not read.
     """
@@ -139,7 +158,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         # The unlabelled sample is of all training texts, confirmed ones included, as the risk estimator needs it; at most 2 * sample rows.
         chosen = spark.createDataFrame([(i, 1) for i in toxic_ids] + [(i, 0) for i in other_ids], "id long, y int")
         rows = learn.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-        confirmed = rows.filter("y = 1").dropDuplicates(["bytes"])  # copies say nothing new
+        # Every confirmed training row counts, copies too, as they do in the counts of all training texts and in the prior.
+        toxic = known.filter("y = 1").select("doc_id")
+        confirmed = _may_have(learn, toxic).join(toxic, "doc_id", "left_semi")
         in_p = _doc_counts(confirmed.select("bytes")).withColumnRenamed("n", "a")
         in_u = _doc_counts(learn.select("bytes"))
         n_p, n_u = confirmed.count(), learn.count()

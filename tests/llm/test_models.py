@@ -54,6 +54,26 @@ def test_toxicity_held_out(labelled):
     assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got)
 
 
+def test_toxic_text_with_many_copies(spark):
+    """A toxic text that fills a third of the rows is found, and so are other texts with only its words."""
+    rng = random.Random(7)
+    bad, hot = ["grumblefritz", "snarkwort", "bogmuncher"], "a grumblefritz b snarkwort c bogmuncher d"
+    rows = []
+    for i in range(6000):
+        words = [f"word{rng.randrange(300)}" for _ in range(rng.randrange(20, 60))]
+        if rng.random() < 0.04:
+            words[3:3] = [rng.choice(bad)]
+        rows.append((i, hot if i % 3 == 0 else " ".join(words)))
+    toxic = {i for i, t in rows if any(b in t for b in bad)}
+    labels = [(i, int(i in toxic)) for i, _ in rows if rng.random() < 0.4]
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in got if r["held_out"]]
+    for copies in (True, False):  # the copies, and the other rows
+        own = [r for r in held if (r["doc_id"] % 3 == 0) == copies]
+        assert np.mean([r["predicted"] == (r["doc_id"] in toxic) for r in own]) > 0.95
+        assert np.mean([r["predicted"] for r in own if r["doc_id"] in toxic]) > 0.9
+
+
 def test_without_labels(spark, docs, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for df in (odd, empty):
