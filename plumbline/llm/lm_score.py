@@ -1,31 +1,33 @@
 """Language-model scores by logistic context mixing over bits, beside a word-frequency base score.
 
-Each byte of a text is predicted bit by bit, given the 1 to 5 bytes before it. For each of these context lengths a hashed
-table holds how often each bit followed (context, bits of the byte so far) in the training texts. The logits of these
+Each byte of a text is predicted bit by bit, given the 1 to 5 bytes before it. For each of these context lengths it is
+known exactly how often each bit followed (context, bits of the byte so far) in the training texts. The logits of these
 predictors are mixed with weights that two gates choose: which lengths have been seen, and the bits so far. The weights
 are learned online, by gradient steps in a seeded order; each training byte is predicted from tables without itself. An
 adaptive table then maps (bits so far, mixed logit) to the share of ones seen there, and is averaged with the mixture.
 
 All counts cover all training texts. Tasks sort the 6-byte runs of their texts, so that work goes by distinct run, and
-what is shuffled are packed arrays of runs (or word hashes) with counts, by range. The model is of fixed size.
+what is shuffled are packed arrays of runs (or word hashes) with counts, by range. A range of runs has all runs with the
+same two bytes before, so contexts of two bytes and more are counted inside it; the counts grow with the input and never
+leave their range, to which blocks of texts send their runs to be predicted. Only gates, the adaptive table and the counts
+of single bytes' followers are of fixed size.
 """
 
 from __future__ import annotations
 
-import uuid
-import zlib
+import copy
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Store, text_or_empty
 from .learn import fold, sigmoid
 from .textnum import U, chunks, mix, runs, words
 
-ORDER, SLOT_BITS, SLICE_BITS = 5, 21, 15
+ORDER, SLOT_BITS = 5, 21
 #: Bytes of text in a block, that a training task sorts at once, and whose distinct runs it sends together.
 BLOCK, PIECE, TAKE = 16 << 20, 2 << 20, 32 << 20
 #: Bits of the ranges of runs and words, at least; more for more than 1 GB of text.
@@ -70,45 +72,71 @@ def _slots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, node, bit
 
 
-#: The tables that a worker has unpacked last, by broadcast.
-_unpacked: dict[str, np.ndarray] = {}
+class Counts:
+    """How often each bit followed each context, exactly, from a range's distinct runs with counts (sorted) and, for
+    contexts of one byte, the counts of all (byte before, next byte)."""
 
+    def __init__(self, key: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> None:
+        self.by_order = [(np.arange(1 << 16, dtype=np.uint64), np.concatenate(([0], np.cumsum(pairs))))]
+        for o in range(2, ORDER + 1):
+            k, c = _sum_sorted(self.packed(key, o), count)
+            self.by_order.append((k, np.concatenate(([0], np.cumsum(c)))))
 
-class Model:
-    """Tables (order, slot, bit) of counts, gate weights and the adaptive table.
+    @staticmethod
+    def packed(key: np.ndarray, o: int) -> np.ndarray:
+        return (key >> U(8 * (ORDER + 1 - o))) << U(8) | (key & U(0xFF))
+
+    def of(self, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(zeros, ones) by run and bit, for each order."""
+        for o, (k, upto) in enumerate(self.by_order, 1):
+            own = self.packed(key, o)
+            node = own & ~U(0xFF)
+            order = np.argsort(own, kind="stable")
+            own, node = own[order], node[order]
+            lo, hi = upto[np.searchsorted(k, node)], upto[np.searchsorted(k, node + U(256))]
+            n = np.zeros((2, len(key), 8), np.float32)
+            for j in range(8):
+                half = node + U(128 >> j)
+                mid = upto[np.searchsorted(k, half)]
+                n[0, order, j], n[1, order, j] = mid - lo, hi - mid
+                one = own >= half
+                node, lo, hi = np.where(one, half, node), np.where(one, mid, lo), np.where(one, hi, mid)
+            yield n[0], n[1]
+
+
+def _nodes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits so far by run and bit; the bit) of runs."""
+    nxt = (key & U(0xFF)).astype(np.int64)
+    j = np.arange(8)
+    return ((nxt[:, None] | 256) >> (8 - j)[None, :]).astype(np.int64), (nxt[:, None] >> (7 - j)[None, :]) & 1
 
-    The tables are broadcast once, packed; tasks get them by that, and the small rest with their function.
-    """
 
-    def __init__(self, tables: np.ndarray, spark: SparkSession | None = None) -> None:
-        self._tables = tables  # uint16
-        self.key = uuid.uuid4().hex
-        self.packed = spark.sparkContext.broadcast(zlib.compress(tables.tobytes(), 1)) if spark else None
+class Model:
+    """Gate weights and the adaptive table; counts are a range's own, or hashed tables (order, slot, bit) if given."""
+
+    def __init__(self, tables: np.ndarray | None = None) -> None:
+        self.tables = tables
+        self.counts: Counts | None = None
         self.seen_w = np.full((ORDER + 1, 6, ORDER + 1), 0.15, np.float32)
         self.node_w = np.full((256, ORDER + 1), 0.15, np.float32)
         self.seen_w[..., -1] = self.node_w[..., -1] = 0
         self.refine = np.tile(sigmoid((np.arange(_BUCKETS + 1) - _BUCKETS / 2) / 2), (256, 1)).astype(np.float32)
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
-
-    @property
-    def tables(self) -> np.ndarray:
-        if "_tables" not in self.__dict__:
-            if self.key not in _unpacked:
-                _unpacked.clear()
-                _unpacked[self.key] = np.frombuffer(zlib.decompress(self.packed.value), np.uint16).reshape(ORDER, 1 << SLOT_BITS, 2)
-            self._tables = _unpacked[self.key]
-        return self._tables
+    def _counts_of(self, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.counts is not None:
+            yield from self.counts.of(key)
+            return
+        slot = _slots(key)[0]
+        for o in range(ORDER):
+            yield self.tables[o, :, 0][slot[o]].astype(np.float32), self.tables[o, :, 1][slot[o]].astype(np.float32)
 
     def inputs(self, key: np.ndarray, without: bool) -> tuple[np.ndarray, ...]:
         """(logits of the predictors and a 1, longest seen order, its count's class, bits so far, the bit), by bit."""
-        slot, node, bit = _slots(key)
+        node, bit = _nodes(key)
         x = np.ones((len(key), 8, ORDER + 1), np.float32)
         longest = np.zeros((len(key), 8), np.int64)
         size = np.zeros((len(key), 8), np.int64)
-        for o in range(ORDER):
-            n0, n1 = (self.tables[o, :, b][slot[o]].astype(np.float32) for b in (0, 1))
+        for o, (n0, n1) in enumerate(self._counts_of(key)):
             if without:
                 n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
             x[:, :, o] = np.log((n1 + 0.3) / (n0 + 0.3))
@@ -219,51 +247,54 @@ def _merge_runs(key: tuple, t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_blob_rows(_NAMES, rows, _TYPES)])
 
 
-def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of merged runs, sparse sums by (order, slice of slots): a slot and bit, and its count."""
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of merged runs, how often each byte followed each: 256 * byte before + next byte."""
+    total = np.zeros(1 << 16, np.int64)
     for batch in batches:
         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            slot, _, bit = _slots(np.frombuffer(a, np.uint64))
-            weight = np.repeat(np.frombuffer(b, np.int64), 8)
-            rows = []
-            for o in range(ORDER):
-                total = np.bincount((slot[o] * 2 + bit).ravel(), weight, 2 << SLOT_BITS)
-                at = np.flatnonzero(total)
-                ends = np.searchsorted(at, np.arange((1 << (SLOT_BITS - SLICE_BITS)) + 1) << (SLICE_BITS + 1))
-                for s in range(1 << (SLOT_BITS - SLICE_BITS)):
-                    x = at[ends[s] : ends[s + 1]]
-                    if len(x):
-                        rows.append((o << (SLOT_BITS - SLICE_BITS) | s, 0, (x & ((2 << SLICE_BITS) - 1)).astype(np.uint32).tobytes(), total[x].astype(np.int64).tobytes()))
-            yield _blob_rows(_NAMES, rows, _TYPES)
-
-
-def _merge_bits(key: tuple, t: pa.Table) -> pa.Table:
-    total = np.zeros(2 << SLICE_BITS, np.int64)
-    for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
-        total[np.frombuffer(a, np.uint32)] += np.frombuffer(b, np.int64)
-    pair = total.reshape(-1, 2)
-    big = np.maximum(pair.max(1) // 60_000, 0)
-    pair = np.where(big[:, None] > 0, -(-pair // (big[:, None] + 1)), pair)  # large counts keep their ratio
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([0], pa.int64()), "a": pa.array([pair.astype(np.uint16).tobytes()], pa.binary()), "b": pa.array([b""], pa.binary())})
-
-
-def train(texts: DataFrame, store: Store, bits: int = PART_BITS) -> Model:
-    """texts: column bytes. Counts of all of them, then the gates' weights (averages of tasks' online learning) and the adaptive table."""
+            np.add.at(total, Counts.packed(np.frombuffer(a, np.uint64), 1).astype(np.int64), np.frombuffer(b, np.int64))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+
+def _whole(rows: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs and counts of a range's rows (block, runs, counts), sorted by run."""
+    rows = sorted(rows)
+    return np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(a, np.uint64) for _, a, _ in rows]]), np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b, np.int64) for _, _, b in rows]])
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ranges of batches that are sorted by range, each whole."""
+    part, held = None, []
+    for batch in batches:
+        for p, block, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if p != part and held:
+                yield _whole(held)
+                held = []
+            part = p
+            held.append((block, a, b))
+    if held:
+        yield _whole(held)
+
+
+def train(texts: DataFrame, store: Store, bits: int = PART_BITS) -> tuple[Model, DataFrame, np.ndarray]:
+    """texts: column bytes. Counts of all of them, then the gates' weights (averages of ranges' online learning) and the
+    adaptive table: the model, the runs with counts by range, and the counts of (byte before, next byte)."""
     grams = store.cut(texts.mapInArrow(_run_counts(1 << bits), BLOB).groupBy("part").applyInArrow(_merge_runs, BLOB), "runs")
-    tables = np.zeros((ORDER, 1 << SLOT_BITS, 2), np.uint16)
-    for row in grams.mapInArrow(_bit_counts, BLOB).groupBy("part").applyInArrow(_merge_bits, BLOB).toLocalIterator():
-        o, s = row["part"] >> (SLOT_BITS - SLICE_BITS), row["part"] & ((1 << (SLOT_BITS - SLICE_BITS)) - 1)
-        tables[o, s << SLICE_BITS : (s + 1) << SLICE_BITS] = np.frombuffer(row["a"], np.uint16).reshape(-1, 2)
-    model = Model(tables, texts.sparkSession)
-    spread = grams.repartition(12, F.xxhash64("part", "block"))
+    got = grams.mapInArrow(_pair_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(1 << 16, np.int64)
+    pairs[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    model = Model()
+    # Ranges one after another, so that a task holds one of them.
+    spread = grams.repartition(12, "part").sortWithinPartitions("part", "block")
     for epoch in range(_EPOCHS):
 
         def learn(batches: Iterator[pa.RecordBatch], m: Model = model, rate: float = _RATE / (1 + epoch)) -> Iterator[pa.RecordBatch]:
             n = 0
-            for batch in batches:
-                for _, a, b in sorted(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                    m.learn(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64).astype(float), rate)
-                    n += len(a) // 8
+            for k, c in _ranges(batches):
+                m.counts = Counts(k, c, pairs)
+                m.learn(k, c.astype(float), rate)
+                n += len(k)
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([m.seen_w.tobytes()], pa.binary()), pa.array([m.node_w.tobytes()], pa.binary())], ["n", "a", "b"])
 
         got = [r for r in spread.mapInArrow(learn, "n long, a binary, b binary").collect() if r["n"]]
@@ -275,15 +306,48 @@ def train(texts: DataFrame, store: Store, bits: int = PART_BITS) -> Model:
 
     def refine(batches: Iterator[pa.RecordBatch], m: Model = model) -> Iterator[pa.RecordBatch]:
         out = np.zeros((256 * (_BUCKETS + 1), 2))
-        for batch in batches:
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                out += m.refine_counts(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64).astype(float))
+        for k, c in _ranges(batches):
+            m.counts = Counts(k, c, pairs)
+            out += m.refine_counts(k, c.astype(float))
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["a"])
 
     total = sum((np.frombuffer(r["a"]).reshape(-1, 2) for r in spread.mapInArrow(refine, "a binary").collect()), np.zeros((256 * (_BUCKETS + 1), 2)))
     start = model.refine.ravel()
     model.refine = ((total[:, 0] + 20 * start) / (total[:, 1] + 20)).reshape(model.refine.shape).astype(np.float32)
-    return model
+    return model, grams, pairs
+
+
+def _block_runs(parts: int):
+    """Of a block of texts, its distinct runs by range."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        held = [np.zeros(0, np.uint64)]
+        for piece in t.column("bytes").chunks:
+            for _, _, data, offsets in chunks(piece, PIECE):
+                held.append(_distinct(byte_runs(data, offsets)[0])[0])
+        k = _distinct(np.concatenate(held))[0]
+        part = (mix(k >> U(32)) % U(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, key[0].as_py(), k[order[ends[p] : ends[p + 1]]].tobytes(), b"") for p in range(parts) if ends[p + 1] > ends[p]]
+        return pa.Table.from_batches([_blob_rows(_NAMES, rows, _TYPES)])
+
+    return run
+
+
+def _run_bits(model: Model, pairs: np.ndarray):
+    """Of a range, every block's runs with the log2 probabilities of their next bytes."""
+
+    def run(key: tuple, asked: pa.Table, grams: pa.Table) -> pa.Table:
+        m = copy.copy(model)
+        m.counts = Counts(*_whole(list(zip(*(grams.column(x).to_pylist() for x in ("block", "a", "b")), strict=True))), pairs)
+        a = [np.frombuffer(x, np.uint64) for x in asked.column("a").to_pylist()]
+        k = _distinct(np.concatenate([np.zeros(0, np.uint64), *a]))[0]
+        bits = m.bits(k).astype(np.float32)
+        rows = [(-1, block, x.tobytes(), bits[np.searchsorted(k, x)].tobytes()) for block, x in zip(asked.column("block").to_pylist(), a, strict=True)]
+        return pa.Table.from_batches([_blob_rows(_NAMES, rows, _TYPES)])
+
+    return run
 
 
 def _block_words(bits: int):
@@ -320,27 +384,11 @@ def _total_words(key: tuple, t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_blob_rows(_NAMES, rows, _TYPES)])
 
 
-def _log2_of(model: Model, data: np.ndarray, offsets: np.ndarray, known: dict) -> np.ndarray:
-    """log2 probability of each text; known keeps what distinct runs gave, sorted by run."""
+def _log2_of(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """log2 probability of each text, from those of its block's distinct runs, sorted by run."""
     key, at = byte_runs(data, offsets)
-    own = np.sort(key)
-    own = own[runs(own)[:-1]]
-    where = np.minimum(np.searchsorted(known["key"], own), max(len(known["key"]) - 1, 0))
-    fresh = own if not len(known["key"]) else own[known["key"][where] != own]
-    if len(fresh):
-        k = np.concatenate((known["key"], fresh))
-        order = np.argsort(k, kind="stable")
-        known["key"], known["bits"] = k[order], np.concatenate((known["bits"], model.bits(fresh)))[order]
-        known["slot"] = None
-    if known["slot"] is None or len(known["slot"]) < 4 * len(known["key"]):
-        size = 1 << max(20, int(8 * len(known["key"])).bit_length())
-        known["shift"] = U(64 - size.bit_length() + 1)
-        known["slot"] = np.zeros(size, np.int32)
-        known["slot"][(known["key"] * U(0x9E3779B97F4A7C15) >> known["shift"]).astype(np.int64)] = np.arange(len(known["key"]))
-    found = known["slot"][(key * U(0x9E3779B97F4A7C15) >> known["shift"]).astype(np.int64)]
-    wrong = np.flatnonzero(known["key"][found] != key)
-    found[wrong] = np.searchsorted(known["key"], key[wrong])
-    total = np.concatenate(([0.0], np.cumsum(known["bits"][found])))
+    own, where = np.unique(key, return_inverse=True)
+    total = np.concatenate(([0.0], np.cumsum(bits[np.searchsorted(known, own)].astype(float)[where])))
     return total[at[1:]] - total[at[:-1]]
 
 
@@ -360,7 +408,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = base.withColumn("held_out", fold("doc_id", folds) == held_out)
     size = base.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     bits = min(14, max(PART_BITS, (int(size) >> 24).bit_length()))
-    model = train(base.filter("not held_out").select("bytes"), store, bits)
+    model, grams, pairs = train(base.filter("not held_out").select("bytes"), store, bits)
     blocks = max(1, -(-int(size) // BLOCK))
     placed = base.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("bytes")), F.lit(blocks)))
     seen = placed.groupBy("block").applyInArrow(_block_words(bits), BLOB)
@@ -369,11 +417,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_train, v_train = (int(sum(e[i] for e in ends)) for i in (0, 1))
     below = np.log10(n_train + 0.1 * (v_train + 1))
 
+    asked = placed.groupBy("block").applyInArrow(_block_runs(1 << bits), BLOB)
+    told = asked.groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(_run_bits(model, pairs), BLOB)
+
     def score(key: tuple, texts: pa.Table, table: pa.Table) -> pa.Table:
-        known = {"key": np.zeros(0, np.uint64), "bits": np.zeros(0), "slot": None}
-        pairs = sorted(zip(table.column("part").to_pylist(), table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True))
-        vocabulary = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(a, np.uint64) for _, a, _ in pairs]])
-        count = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b, np.int64) for _, _, b in pairs]])
+        rows = sorted(zip(table.column("part").to_pylist(), table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True))
+        runs_of = [x for x in rows if x[0] < 0]
+        k = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(a, np.uint64) for _, a, _ in runs_of]])
+        order = np.argsort(k, kind="stable")
+        known, known_bits = k[order], np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(b, np.float32) for _, _, b in runs_of]])[order]
+        by_range = rows[len(runs_of) :]
+        vocabulary = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(a, np.uint64) for _, a, _ in by_range]])
+        count = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b, np.int64) for _, _, b in by_range]])
         c_end = int(count[np.searchsorted(vocabulary, END_WORD & ~U(1))]) if len(vocabulary) else 0
         out: list[list] = [[] for _ in range(5)]
         column = texts.column("bytes")
@@ -390,12 +445,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out[0].append(n)
                 out[1].append(hits[w.bound[1:]] - hits[w.bound[:-1]] + (c_end > 0))
                 out[2].append(logs[w.bound[1:]] - logs[w.bound[:-1]] + np.log10(c_end + 0.1) - n * below)
-                bits = _log2_of(model, data, offsets, known)
+                bits = _log2_of(data, offsets, known, known_bits)
                 out[3].append(bits * np.log10(2))
                 out[4].append(-bits / np.maximum(np.diff(offsets), 1))
         cols = [pa.array(np.concatenate(x)) for x in out]
         return pa.table([texts.column("doc_id"), texts.column("held_out"), cols[0], cols[1].cast(pa.int64()), pa.array(np.full(len(texts), n_train)), cols[2], cols[3], cols[4]], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
-    return placed.groupBy("block").cogroup(counts.filter("block >= 0").groupBy("block")).applyInArrow(score, RESULT)
+    return placed.groupBy("block").cogroup(counts.filter("block >= 0").unionByName(told).groupBy("block")).applyInArrow(score, RESULT)
 
 

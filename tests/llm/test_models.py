@@ -107,6 +107,24 @@ def test_probabilities_sum_to_one():
     assert abs((2 ** model.bits(context + np.arange(256, dtype=np.uint64))).sum() - 1) < 1e-6
 
 
+def test_counts_are_exact():
+    """Each order's counts are those of the context itself, however many distinct contexts there are."""
+    rng = np.random.default_rng(1)
+    key = np.unique((rng.integers(0, 6, (5000, 6)).astype(np.uint64) * np.uint64(31) << np.arange(0, 48, 8, dtype=np.uint64)).sum(1, dtype=np.uint64))
+    count = rng.integers(1, 9, len(key))
+    pairs = np.zeros(1 << 16, np.int64)
+    np.add.at(pairs, lm_score.Counts.packed(key, 1).astype(np.int64), count)
+    got = list(lm_score.Counts(key, count, pairs).of(key))
+    nxt = (key & np.uint64(255)).astype(int)
+    for i in range(0, len(key), 400):
+        for o, (n0, n1) in enumerate(got, 1):
+            same = key >> np.uint64(8 * (6 - o)) == key[i] >> np.uint64(8 * (6 - o))
+            for j in range(8):
+                here = same & (nxt >> (8 - j) == nxt[i] >> (8 - j))
+                one = (nxt >> (7 - j)) & 1 == 1
+                assert (n0[i, j], n1[i, j]) == (count[here & ~one].sum(), count[here & one].sum())
+
+
 def test_byte_runs_do_not_cross_texts():
     data = np.frombuffer(b"abcdefgxy", np.uint8)
     key, at = lm_score.byte_runs(data, np.array([0, 7, 7, 9]))
