@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,10 @@ SPACE = r"[\x20\x09-\x0D]"
 #: A key is hot if it holds more than one in so many of all rows; so there are at most so many hot keys.
 HOT_PARTS = 1000
 
+#: Spark's setting by which a query's shuffle files are deleted when it ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one on a local master."""
@@ -26,19 +32,52 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+_scratch: ContextVar[list[Store] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that operators store inside this context go at its end; what was read from them must be written by then."""
+    made: list[Store] = []
+    token = _scratch.set(made)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for store in made:
+            store.drop("")
+
+
 class Store:
-    """Tables written to the shared folder: a lost executor costs no more than the tasks that read its shuffle files."""
+    """Tables written to the shared folder: a lost executor costs no more than the tasks that read its shuffle files.
+
+    What an operator returns may still read them, so they go with the application, or at the end of scratch().
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        files, path = self._files("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        if (made := _scratch.get()) is not None:
+            made.append(self)
 
     def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+        return f"{self.root}/{table}" if table else self.root
+
+    def _files(self, table: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def cut(self, df: DataFrame, table: str, *partition_by: str) -> DataFrame:
-        """Write df and return it as read back; this ends its lineage."""
+        """Write df and return it as read back; this ends its lineage, so its shuffle files go when it is written."""
         writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(table))
+        before = self.spark.conf.get(CLEAN_SHUFFLES)
+        self.spark.conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(table))
+        finally:
+            self.spark.conf.set(CLEAN_SHUFFLES, before)
         return self.read(table, df)
 
     def read(self, table: str, like: DataFrame) -> DataFrame:
@@ -47,8 +86,8 @@ class Store:
     def drop(self, *tables: str) -> None:
         """Delete tables that nothing reads any more."""
         for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            files, path = self._files(table)
+            files.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,3 +117,23 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: st
     on_cold = [F.col("_k0") == F.col(f"_cold_{keys[0]}"), F.col("_none") == F.col("_zero"), *[F.col(k) == F.col(f"_cold_{k}") for k in keys[1:]]]
     out = out.join(cold.withColumn("_zero", F.lit(0)), on_cold, "left")
     return out.select(*left.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(f"_cold_{c}")).alias(c) for c in rest])
+
+
+def drop_rows(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is none of `ids` (one column, any name); rows without an id stay. No column of docs can clash."""
+    return docs.join(_aside(docs, ids), F.col(id_col).cast("long") == F.col(_free(docs)), "left_anti")
+
+
+def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str, nulls: bool = False) -> DataFrame:
+    """The rows of docs whose id is one of `ids`; nulls: a null among ids keeps the rows without one."""
+    own, other = F.col(id_col).cast("long"), F.col(_free(docs))
+    return docs.join(_aside(docs, ids), own.eqNullSafe(other) if nulls else own == other, "left_semi")
+
+
+def _free(docs: DataFrame) -> str:
+    """A column name that docs does not have, in any case."""
+    return "_" * (1 + max((len(c) for c in docs.columns), default=0)) + "id"
+
+
+def _aside(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return ids.toDF(_free(docs)).distinct()

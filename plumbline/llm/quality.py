@@ -1,9 +1,10 @@
 """Document quality by co-training two views.
 
 One classifier sees the text's content (frequencies of hashed runs of three bytes), the other its page metadata:
-language, source, length and layout (lines, words, shares of kinds of characters, repeated words). In each round each
-labels the unlabelled texts it is surest of, and the other learns from those. Afterwards both are calibrated on labelled
-rows that neither has seen, and a small logistic model combines the calibrated views; it scores every document.
+language, source, length and layout (lines, words, shares of kinds of characters, repeated words). In each round both
+score every unlabelled text, in the tasks; the texts that one is surest of become pseudo-labels that the other learns
+from. Afterwards both are calibrated on labelled rows that neither has seen, and a small logistic model combines the
+calibrated views; it scores every document.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
-from .learn import byte_grams, first_by_hash, fold, linear, logistic, sigmoid
+from .common import Store, text_or_empty
+from .learn import byte_grams, first_by_hash, fold, linear, logistic, sigmoid, surest
 from .textnum import U, chunks, runs, words
 
-#: Hash bits of the content view; rows fitted on at most (labelled, and unlabelled); rounds; share of the pool that a round labels.
-BITS, SAMPLE, POOL, ROUNDS, SHARE = 10, 8_000, 8_000, 4, 0.05
+#: Hash bits of the content view; labelled rows fitted on at most; rounds; pseudo-labels that a view gets in a round.
+BITS, SAMPLE, ROUNDS, GIVEN = 10, 8_000, 2, 1_000
 _LANGS, _SOURCES = 8, 32
 _KIND = np.zeros(256, np.int64)  # 0: other, 1: lower, 2: upper, 3: digit, 4: punctuation, 5: space
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
@@ -59,119 +60,176 @@ def metadata(data: np.ndarray, offsets: np.ndarray, langs: list, sources: list)
     return out
 
 
-def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        langs, sources = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for lo, hi, data, offsets in chunks(batch.column(1), rows=2048):
-            yield batch, lo, hi, content(data, offsets), metadata(data, offsets, langs[lo:hi], sources[lo:hi])
+def _features(text: pa.Array, langs: list, sources: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, content view, metadata view) of runs of rows."""
+    for lo, hi, data, offsets in chunks(text, rows=2048):
+        yield lo, hi, content(data, offsets), metadata(data, offsets, langs[lo:hi], sources[lo:hi])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, lo, hi, a, b in _views(batches):
-        blobs = [pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()) for x in (a, b)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *blobs], ["doc_id", "a", "b"])
+    for batch in batches:
+        for lo, hi, a, b in _features(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            blobs = [pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *blobs], ["doc_id", "a", "b"])
 
 
 class CoTrained:
-    """The two classifiers, their calibration and the combination; a few thousand numbers."""
+    """The two classifiers, their calibration and the combination; a few thousand numbers once it is done()."""
 
-    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], held: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> None:
-        """views: rows of each view; y: 0 or 1; held: rows kept for calibration; pool: unlabelled rows of each view."""
+    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray) -> None:
+        """views: labelled rows of each view; y: 0 or 1; held: rows kept for calibration."""
         self.scale = [np.maximum(v.std(0), 1e-3) for v in views]
         self.mean = [v.mean(0) for v in views]
-        x, u = [self._norm(i, v) for i, v in enumerate(views)], [self._norm(i, v) for i, v in enumerate(pool)]
-        fit, own_y = ~held, [y[~held].astype(float)] * 2
-        own_x = [v[fit] for v in x]
-        extra: list[dict[int, float]] = [{}, {}]
-        prior = float(own_y[0].mean()) if fit.any() else 1.0
-        for r in range(rounds + 1):
-            self.w = []
-            for i in (0, 1):
-                at = np.array(sorted(extra[i]), int)
-                xs = np.vstack([own_x[i], u[i][at]]) if len(at) else own_x[i]
-                ys = np.concatenate([own_y[i], [extra[i][k] for k in at]]) if len(at) else own_y[i]
-                weight = np.concatenate([np.ones(len(own_y[i])), np.full(len(at), 0.5)])
-                self.w.append(logistic(xs, ys, weight))
-            if r == rounds or not len(u[0]):
-                break
-            for i in (0, 1):  # what one is surest of goes to the other, in the classes' own proportion
-                p, taken = linear(u[i], self.w[i]), extra[1 - i]
-                order = [k for k in np.argsort(p, kind="stable") if k not in taken]
-                n = int(len(p) * share)
-                low, high = int(n * (1 - prior)), int(n * prior)
-                taken.update({k: 0.0 for k in order[:low] if p[k] < -1} | {k: 1.0 for k in order[::-1][:high] if p[k] > 1})
-        z = np.stack([linear(x[i][held], self.w[i]) for i in (0, 1)], 1) if held.any() else np.zeros((0, 2))
-        both = len(np.unique(y[held])) == 2
-        self.platt = [logistic(z[:, [i]], y[held].astype(float), l2=1e-4) for i in (0, 1)] if both else [np.array([1.0, 0.0])] * 2
-        cal = np.stack([linear(z[:, [i]], self.platt[i]) for i in (0, 1)], 1)
-        self.combine = logistic(cal, y[held].astype(float), l2=1e-2) if both else np.array([0.5, 0.5, 0.0])
+        x = [self._norm(i, v) for i, v in enumerate(views)]
+        self.x, self.y = [v[~held] for v in x], y[~held].astype(float)
+        self.held, self.held_y = [v[held] for v in x], y[held].astype(float)
+        self.more: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]  # pseudo-labelled rows of each view
+        self.train()
 
     def _norm(self, i: int, v: np.ndarray) -> np.ndarray:
         return ((v - self.mean[i]) / self.scale[i]).astype(np.float32)
 
+    def train(self) -> None:
+        self.w = []
+        for i in (0, 1):
+            x, y = np.vstack([self.x[i], *[a for a, _ in self.more[i]]]), np.concatenate([self.y, *[b for _, b in self.more[i]]])
+            self.w.append(logistic(x, y, np.where(np.arange(len(y)) < len(self.y), 1.0, 0.5)))
+
+    def prior(self) -> float:
+        return float(self.y.mean()) if len(self.y) else 1.0
+
+    def teach(self, i: int, rows: np.ndarray, y: np.ndarray) -> None:
+        """Give view i rows that the other view has labelled."""
+        self.more[i].append((self._norm(i, rows), y.astype(float)))
+
+    def margins(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        return [linear(self._norm(i, v), self.w[i]) for i, v in enumerate((a, b))]
+
+    def done(self) -> CoTrained:
+        z = [linear(v, w) for v, w in zip(self.held, self.w, strict=True)]
+        both = len(np.unique(self.held_y)) == 2
+        self.platt = [logistic(v[:, None], self.held_y, l2=1e-4) for v in z] if both else [np.array([1.0, 0.0])] * 2
+        cal = np.stack([linear(v[:, None], p) for v, p in zip(z, self.platt, strict=True)], 1)
+        self.combine = logistic(cal, self.held_y, l2=1e-2) if both else np.array([0.5, 0.5, 0.0])
+        del self.x, self.y, self.held, self.held_y, self.more
+        return self
+
     def scores(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of good quality: combined, by content, by metadata."""
-        cal = [linear(linear(self._norm(i, v), self.w[i])[:, None], self.platt[i]) for i, v in enumerate((a, b))]
+        cal = [linear(z[:, None], p) for z, p in zip(self.margins(a, b), self.platt, strict=True)]
         return sigmoid(linear(np.stack(cal, 1), self.combine)), sigmoid(cal[0]), sigmoid(cal[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, pool: int = POOL) -> CoTrained | None:
-    """Fit on at most `sample` labelled and `pool` unlabelled rows, first in a seeded order of ids; None without both classes.
+def _rows_of(base: DataFrame, chosen: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids in order, content rows, metadata rows) of some ids; of rows that repeat an id, the least text."""
+    ids = base.sparkSession.createDataFrame([(i,) for i in chosen], "id long")
+    rows = base.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min(F.struct("bytes", "lang", "source")).alias("r"))
+    t = rows.select("doc_id", "r.*").mapInArrow(_sampled, "doc_id long, a binary, b binary").toArrow()
+    doc = t.column("doc_id").to_numpy()
+    order = np.argsort(doc, kind="stable")
+    a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.float16).reshape(len(doc), -1)[order].astype(np.float32) for c in "ab")
+    return doc[order], a, b
+
+
+def _pseudo_labels(model: CoTrained, free: DataFrame, known: DataFrame, store: Store, given: int, name: str) -> list[dict[int, float]]:
+    """For each view, which ids the other view is surest of and its labels for them, in the labelled rows' proportion.
+
+    Every row of `free` is scored; equal texts stand for one id, the least of them. Labelled ids are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, a, b in _features(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(4).slice(lo, hi - lo), *[pa.array(z) for z in model.margins(a, b)]], ["doc_id", "text", "z0", "z1"])
+
+    rows = free.withColumn("text", F.xxhash64("bytes")).mapInArrow(run, "doc_id long, text long, z0 double, z1 double")
+    rows = rows.filter("abs(z0) > 1 or abs(z1) > 1")
+    rows = store.cut(rows.join(known.select("doc_id"), "doc_id", "left_anti").groupBy("text").agg(F.min(F.struct("doc_id", "z0", "z1")).alias("r")).select("r.*").groupBy("doc_id").agg(F.min("z0").alias("z0"), F.min("z1").alias("z1")), name)
+    out: list[dict[int, float]] = [{}, {}]
+    high = int(given * model.prior())
+    for i in (0, 1):
+        z = F.col(f"z{i}")
+        for sign, label, most in ((z, 1.0, high), (-z, 0.0, given - high)):
+            if most:
+                out[1 - i] |= {r[0]: label for r in surest(rows.filter(sign > 1), sign, most, "doc_id", "s").select("doc_id").collect()}
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, rounds: int = ROUNDS, given: int = GIVEN) -> CoTrained | None:
+    """Fit on at most `sample` labelled rows, first in a seeded order of ids, and in each of `rounds` rounds on at most
+    `given` pseudo-labels a view, chosen among all unlabelled rows; None without both classes.
 
     Rows whose crc32(id as text) modulo 4 is 2 are never fitted on.
     """
-    spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     known = known.filter(fold("doc_id", 4) != 2).groupBy("doc_id").agg(F.min("y").alias("y"))
-    given = {r[0]: r[1] for r in first_by_hash(known, "doc_id", sample, "q").collect()}
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").filter(fold("doc_id", 4) != 2)
-    free = [r[0] for r in first_by_hash(ids, "doc_id", pool, "u").collect() if r[0] not in given]
-    if len(set(given.values())) < 2:
+    told = {r[0]: r[1] for r in first_by_hash(known, "doc_id", sample, "q").collect()}
+    if len(set(told.values())) < 2:
         return None
-    chosen = spark.createDataFrame([(i,) for i in [*given, *free]], "id long")  # at most sample + pool rows
-    rows = _base(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).drop("id")
-    t = rows.mapInArrow(_sampled, "doc_id long, a binary, b binary").toArrow()
-    doc = np.array(t.column("doc_id").to_pylist(), np.int64)
-    order = np.argsort(doc, kind="stable")
-    a, b = (np.stack([np.frombuffer(x, np.float16) for x in t.column(c).to_pylist()])[order].astype(np.float32) for c in "ab")
-    doc = doc[order]
-    has = np.array([int(i) in given for i in doc])
-    y = np.array([given[int(i)] for i in doc[has]])
+    base = _base(docs, id_col, text_col).filter("doc_id is not null").filter(fold("doc_id", 4) != 2)
+    doc, a, b = _rows_of(base, list(told))
+    y = np.array([told[int(i)] for i in doc])
     if len(np.unique(y)) < 2:
         return None
-    held = np.array([zlib.crc32(b"held%d" % i) % 4 == 0 for i in doc[has]])
-    return CoTrained((a[has], b[has]), y, (a[~has], b[~has]), held)
+    held = np.array([zlib.crc32(b"held%d" % i) % 4 == 0 for i in doc])
+    if len(np.unique(y[~held])) < 2:
+        held[:] = False
+    model, store = CoTrained((a, b), y, held), Store(docs.sparkSession, "quality")
+    for r in range(rounds):
+        both = _pseudo_labels(model, base, known, store, given, f"margins{r}")
+        if chosen := sorted({*both[0], *both[1]}):
+            doc, *views = _rows_of(base, chosen)
+            for i in (0, 1):
+                own = np.array([int(k) in both[i] for k in doc])
+                model.teach(i, views[i][own], np.array([both[i][int(k)] for k in doc[own]]))
+            model.train()
+    store.drop("")
+    return model.done()
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def optional(c: str):
-        return F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *_inputs(docs, text_col))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("bytes"), optional("lang").alias("lang"), optional("source").alias("source"))
 
+def _inputs(docs: DataFrame, text_col: str) -> list[Column]:
+    def optional(c: str) -> Column:
+        return (F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c)
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, sample: int = SAMPLE, pool: int = POOL) -> DataFrame:
-    """One row per row of docs: doc_id, score, content_score, metadata_score (each 0 to 1), good (score >= threshold).
+    return [text_or_empty(text_col).cast("binary").alias("bytes"), optional("lang"), optional("source")]
 
-    Null text is empty, null or missing language and source are a value of their own; all are scored. Labels other than
-    0 and 1 are no labels, and an id with both counts as 0. If the labelled rows lack a class, every score is 1 (0 if
-    all are 0). Rows that repeat an id are scored each; an empty table gives an empty result.
-    """
-    model = fit(docs, labels, id_col, text_col, label_col, sample, pool)
+
+def _scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int):
+    """An Arrow function of (bytes, lang, source): struct<score, content_score, metadata_score>."""
+    model = fit(docs, labels, id_col, text_col, label_col, sample)
     only = 1.0
     if model is None:
-        ends = labels.filter(F.col(label_col).isin(0, 1)).agg(F.max(label_col)).first()[0]
+        ends = labels.filter(fold(id_col, 4) != 2).filter(F.col(label_col).isin(0, 1)).agg(F.max(label_col)).first()[0]
         only = 0.0 if ends == 0 else 1.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lo, hi, a, b in _views(batches):
-            s = model.scores(a, b) if model is not None else [np.full(hi - lo, only)] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(x.astype(float)) for x in s], pa.array(s[0] >= threshold)], ["doc_id", "score", "content_score", "metadata_score", "good"])
+    @F.arrow_udf("score double, content_score double, metadata_score double")
+    def score(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
+        out = np.full((3, len(text)), only)
+        if model is not None:
+            for lo, hi, a, b in _features(text, lang.to_pylist(), source.to_pylist()):
+                out[:, lo:hi] = model.scores(a, b)
+        return pa.StructArray.from_arrays([pa.array(x) for x in out], ["score", "content_score", "metadata_score"])
 
-    return _base(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, content_score double, metadata_score double, good boolean")
+    return score
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """One row per row of docs: doc_id, score, content_score, metadata_score (each 0 to 1), good (score >= threshold).
+
+    Null text is empty, null or missing language and source are a value of their own; all are scored. Labels other than
+    0 and 1 are no labels, and an id with both counts as 0. If the labelled rows lack a class, every score is 1 (0 if
+    all are 0). Rows that repeat an id are scored each; an empty table gives an empty result.
+    """
+    score = _scorer(docs, labels, id_col, text_col, label_col, sample)
+    out = _base(docs, id_col, text_col).select("doc_id", score("bytes", "lang", "source").alias("s"))
+    return out.select("doc_id", "s.*", (F.col("s.score") >= threshold).alias("good"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is at least threshold, with all columns; rows without an id stay where no such row is rejected."""
-    bad = score_quality(docs, labels, id_col, text_col, threshold=threshold).filter("not good").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    """The rows of docs whose score is at least threshold, with all columns; each row is judged by itself, with or without an id."""
+    score = _scorer(docs, labels, id_col, text_col, "quality", SAMPLE)
+    return docs.filter(score(*_inputs(docs, text_col))["score"] >= threshold)

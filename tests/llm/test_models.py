@@ -179,6 +179,18 @@ def test_leaks_against_brute_force(spark, odd, empty):
     assert decontaminate.drop_leaks(odd, bench).count() == 4
 
 
+def test_rows_without_id_are_judged_by_themselves(spark, labelled):
+    item = " ".join(f"q{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, f"x {item} y", 1), (None, "clean words only", 1), (1, item, 1), (2, None, 1)], "doc_id long, text string, _bad_id long")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == {(None, 7), (1, 7)}
+    assert sorted(r["text"] or "" for r in decontaminate.drop_leaks(docs, bench).collect()) == ["", "clean words only"]
+    rows, labels, _ = labelled
+    shout = "WORD1!! WORD7!! WORD9!! " * 10
+    more = rows.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(None, shout, "en", "src1"), (None, shout.lower().replace("!", ""), "en", "src1")], "doc_id long, text string, lang string, source string"))
+    assert [r["text"] for r in quality.keep_good(more, labels).filter("doc_id is null").collect()] == [shout.lower().replace("!", "")]
+
+
 def test_leaks_of_long_items(spark):
     """A copy or paraphrase is found whatever the item's length, beside items of all lengths."""
     rng = random.Random(4)
