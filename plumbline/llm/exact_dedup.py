@@ -1,10 +1,11 @@
 """Exact deduplication by an extendible-hash index kept in shared files; DataFrame functions only.
 
 Equal texts are those that agree after all white space (space, tab to carriage return) is deleted. The index has a
-64-bit key a text. Its directory starts at the depth that an even spread needs and doubles as long as a bucket holds
-more than `capacity` entries. A bucket is a range of keys, so range partitioning makes one task the owner of a bucket;
-there, entries with one key but other bytes form a chain. Bytes are compared where Spark groups by the text itself:
-copies collapse before the shuffle, so a text that fills a third of the table costs one row a task.
+63-bit key a text. Its directory starts with as many slots as an even spread of keys needs; a slot that holds more than
+`capacity` keys doubles until each of its buckets fits, however deep that goes, while a bucket of one key is never split.
+A bucket is a range of keys, and one task owns it: it takes the bucket's entries, chains those with one key, compares
+their bytes, and settles the size of each group and the row that stays. Before entries travel to their owner, copies
+collapse inside a few lanes (by id), so that a text that fills a third of the table comes to its owner as LANES entries.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Store, skew_join, text_or_empty
+from .common import SPACE, Store, keep_rows, skew_join, text_or_empty
 
-#: Index entries that a bucket may hold.
-CAPACITY = 65_536
+#: Keys that a bucket may hold; lanes in which copies collapse; bits of a key; slots at the start, at most (more keys than
+#: CAPACITY * 2 ** SLOT_BITS raise the capacity).
+CAPACITY, LANES, KEY_BITS, SLOT_BITS = 65_536, 4, 63, 20
+#: Doubled slots that are broadcast at most (each a few numbers); more are joined by Spark's own choice.
+BROADCAST_SLOTS = 10_000
 _WRAP = 18446744073709551616  # 2 ** 64
 
 
@@ -23,85 +27,82 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(text_or_empty(text), f"{SPACE}+", "")
 
 
-def directory(entries: DataFrame, key: str, capacity: int) -> list[tuple[int, int]]:
-    """The buckets as (prefix, depth), in key order: at most about 2 * entries / capacity of them.
+def key_of(norm: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(norm), 1)
 
-    Only counts of overfull prefixes come to the driver. A bucket splits until it fits or 48 bits deep (then only
-    chains are left in it).
+
+def directory(keys: DataFrame, key: str, capacity: int) -> tuple[int, dict[int, list[int]]]:
+    """(depth of the slots at the start, for each doubled slot the first keys of its buckets after the first).
+
+    keys: distinct. Only overfull ranges come to the driver; with keys that are hashes there are few.
     """
-    n = entries.count()
-    depth = max(0, (max(n, 1) // capacity).bit_length() - 1)
-
-    def counts(df: DataFrame, d: int) -> dict[int, int]:
-        prefix = F.shiftrightunsigned(F.col(key), 64 - d) if d else F.lit(0).cast("long")
-        return {r[0]: r[1] for r in df.groupBy(prefix.alias("p")).count().collect()}
-
-    done, over = [], []
-    found = counts(entries, depth)
-    for p in range(1 << depth):
-        (over if found.get(p, 0) > capacity and depth < 48 else done).append((p, depth))
-    while over:
-        old = F.shiftrightunsigned(F.col(key), 64 - depth) if depth else F.lit(0).cast("long")
-        full = entries.sparkSession.createDataFrame([(p,) for p, _ in over], "p long")
+    n = keys.count()
+    base = min(SLOT_BITS, max(0, (max(n, 1) // capacity).bit_length() - 1))
+    capacity = max(capacity, n >> SLOT_BITS)
+
+    def overfull(df: DataFrame, depth: int) -> list[int]:
+        prefix = F.shiftright(F.col(key), KEY_BITS - depth)
+        return [r[0] for r in df.groupBy(prefix.alias("p")).count().filter(F.col("count") > capacity).collect()]
+
+    starts: dict[int, list[int]] = {}
+    depth, over, rest = base, overfull(keys, base), keys
+    while over and depth < KEY_BITS:
+        full = keys.sparkSession.createDataFrame([(p,) for p in over], "p long")
+        rest = rest.join(F.broadcast(full) if len(over) <= BROADCAST_SLOTS else full, F.shiftright(F.col(key), KEY_BITS - depth) == F.col("p"), "left_semi")
         depth += 1
-        found = counts(entries.withColumn("_old", old).join(F.broadcast(full), F.col("_old") == F.col("p"), "left_semi"), depth)
-        split = [(2 * p + side, depth) for p, _ in over for side in (0, 1)]
-        over = [(p, d) for p, d in split if found.get(p, 0) > capacity and depth < 48]
-        done += [x for x in split if x not in set(over)]
-    return sorted(done, key=lambda x: (x[0] << (64 - x[1]) if x[1] else 0))
+        for p in over:
+            starts.setdefault(p >> (depth - 1 - base), []).append((2 * p + 1) << (KEY_BITS - depth))
+        over = overfull(rest, depth)
+    return base, {slot: sorted(x) for slot, x in starts.items()}
 
 
-def _slots(spark, buckets: list[tuple[int, int]]) -> tuple[DataFrame, int]:
-    """The directory as rows slot -> bucket; 2 ** deepest slots, however deep some buckets are."""
-    deep = max(d for _, d in buckets)
-    rows = spark.createDataFrame([(p << (deep - d), ((p + 1) << (deep - d)) - 1, i) for i, (p, d) in enumerate(buckets)], "lo long, hi long, bucket int")
-    return rows.select(F.explode(F.sequence("lo", "hi")).alias("slot"), "bucket"), deep
+def _with_bucket(df: DataFrame, key: str, base: int, starts: dict[int, list[int]]) -> DataFrame:
+    """Adds slot and, of a doubled slot, which of its buckets (part, from 0)."""
+    df = df.withColumn("slot", F.shiftright(F.col(key), KEY_BITS - base))
+    if not starts:
+        return df.withColumn("part", F.lit(0))
+    doubled = df.sparkSession.createDataFrame(list(starts.items()), "slot long, _starts array<long>")
+    df = df.join(F.broadcast(doubled) if len(starts) <= BROADCAST_SLOTS else doubled, "slot", "left")
+    return df.withColumn("part", F.size(F.filter(F.coalesce("_starts", F.array().cast("array<long>")), lambda s: s <= F.col(key)))).drop("_starts")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain.
 
-    Of equal texts the row with the most code points stays, then the smallest id. Null text counts as empty, and empty
-    texts are equal to each other. Rows without an id stay only as a group of their own kind: keep_id is null if no row
-    of the group has an id, and a row without an id is never kept where another has one. A row that repeats the kept
-    row's id and length is kept too. An empty table gives an empty result; other columns are not looked at.
+    bucket: slot and part of the text's bucket; chain: its place among texts with one key. Of equal
+    texts the row with the most code points stays, then the smallest id. Null text counts as empty, and empty texts are
+    equal to each other. Rows without an id stay only as a group of their own kind: keep_id is null if no row of the
+    group has an id, and a row without an id is never kept where another has one. A row that repeats the kept row's id
+    and length is kept too. An empty table gives an empty result; other columns are not looked at.
     """
-    spark = docs.sparkSession
-    store = Store(spark, "exact-dedup")
+    store = Store(docs.sparkSession, "exact-dedup")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"))
     base = base.select("doc_id", F.length("_text").alias("n_cp"), normalised("_text").alias("norm"))
-    order = F.expr(f"cast(n_cp as decimal(38,0)) * cast({_WRAP} as decimal(20,0)) - cast(doc_id as decimal(20,0))")
-    classes = (
-        base.withColumn("h", F.xxhash64("norm"))
-        .withColumn("_order", order.cast("decimal(38,0)"))
-        .groupBy("h", "norm")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max("_order").alias("_order"), F.max("n_cp").alias("n_max"))
-        .select("h", F.sha2("norm", 256).alias("sha"), "group_size", "_order", "n_max")
-    )
-    classes = store.cut(classes, "entries")
-    n_cp = F.expr(f"cast((_order + cast({_WRAP // 2} as decimal(38,0))) div cast({_WRAP} as decimal(38,0)) as decimal(38,0))")
-    keep = F.expr(f"cast(((_order + cast({_WRAP // 2} as decimal(38,0))) div cast({_WRAP} as decimal(38,0))) * cast({_WRAP} as decimal(20,0)) - _order as long)")
-    buckets = directory(classes, "h", capacity)
-    slots, deep = _slots(spark, buckets)
-    slot = F.shiftrightunsigned(F.col("h"), 64 - deep) if deep else F.lit(0).cast("long")
-    index = (
-        classes.withColumn("slot", slot)
-        .join(F.broadcast(slots), "slot")
-        .select("bucket", "h", "sha", "group_size", keep.alias("keep_id"), n_cp.cast("int").alias("keep_cp"))
-        .repartitionByRange("bucket")
-    )
-    chained = index.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha")))
-    index = store.cut(chained, "index")
-    store.drop("entries")
+    base = base.withColumn("h", key_of("norm"))
+    rows = store.cut(base.select("doc_id", "n_cp", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "rows")
+    keys = store.cut(rows.select("h").distinct(), "keys")
+    depth, starts = directory(keys, "h", capacity)
+    store.drop("keys")
+    # One number that is greatest for the row that stays: code points, then the smallest id.
+    order = F.expr(f"cast(n_cp as decimal(38,0)) * cast({_WRAP} as decimal(20,0)) - cast(doc_id as decimal(20,0))").cast("decimal(38,0)")
+    merged = [F.sum("group_size").alias("group_size"), F.max("_order").alias("_order")]
+    lane = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(LANES))
+    entries = base.select(lane.alias("lane"), "h", "norm", F.lit(1).alias("group_size"), order.alias("_order")).groupBy("lane", "h", "norm").agg(*merged)
+    # The owner of a bucket: all its entries in one task, where equal keys chain and bytes are compared.
+    owned = _with_bucket(entries, "h", depth, starts).repartition("slot", "part").groupBy("slot", "part", "h", "norm").agg(*merged)
+    owned = owned.withColumn("chain", F.row_number().over(Window.partitionBy("slot", "part", "h").orderBy("norm")))
+    top = F.expr(f"(_order + cast({_WRAP // 2} as decimal(38,0))) div cast({_WRAP} as decimal(38,0))").cast("decimal(38,0)")
+    keep = F.expr(f"cast(cast(_top as decimal(38,0)) * cast({_WRAP} as decimal(20,0)) - _order as long)")
+    index = owned.withColumn("_top", top).select("slot", "part", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size", keep.alias("keep_id"), F.col("_top").cast("int").alias("keep_cp"), "chain")
+    index = store.cut(index, "index")
     total = index.agg(F.sum("group_size")).first()[0] or 0
-    rows = base.select("doc_id", "n_cp", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"))
-    out = skew_join(rows, index, ["h", "sha"], "group_size", total, F.xxhash64("doc_id", F.lit(7)))
+    out = skew_join(rows, index, ["h", "sha"], "group_size", total, F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 1))
     kept = F.when(F.col("keep_id").isNull(), F.lit(True)).otherwise(F.coalesce((F.col("doc_id") == F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp")), F.lit(False)))
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), "bucket", "chain")
+    bucket = F.concat_ws(".", "slot", "part").alias("bucket")
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), bucket, "chain")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The rows of docs that stay, with all their columns. Ids should be unique and not null; a row without one goes where another of its text has one."""
     found = exact_dedup(docs, id_col, text_col, capacity)
-    stay = found.filter("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")), "left_semi")
+    return keep_rows(docs, found.filter("kept").select("doc_id"), id_col, nulls=True)

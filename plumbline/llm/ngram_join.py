@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, skew_join, text_or_empty
+from .common import Store, keep_rows, skew_join, text_or_empty
 from .graph import components
 from .textnum import CHUNK, U, chunks, mix, runs, shingles, words
 
@@ -307,5 +307,4 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that lead their component, and those without words; with all columns."""
     found = ngram_classes(docs, id_col, text_col, k, percent)
-    stay = found.filter("component_id is null or component_id = doc_id").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")), "left_semi")
+    return keep_rows(docs, found.filter("component_id is null or component_id = doc_id").select("doc_id"), id_col, nulls=True)

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import exact_dedup, line_dedup, ngram_join, suffix_dedup
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -35,9 +37,32 @@ def test_exact(docs, rows, odd, empty):
 
 
 def test_directory_doubles_only_full_buckets(spark):
-    df = spark.range(64).selectExpr("id << 40 as h").union(spark.range(2).selectExpr("-id - 1 as h"))
-    buckets = exact_dedup.directory(df, "h", 16)
-    assert max(d for _, d in buckets) >= 20 and sum(2.0**-d for _, d in buckets) == 1.0
+    df = spark.range(64).selectExpr("id << 40 as h").union(spark.range(2).selectExpr("9223372036854775807 - id as h"))
+    base, starts = exact_dedup.directory(df, "h", 16)
+    got = exact_dedup._with_bucket(df, "h", base, starts).groupBy("slot", "part").count().collect()
+    assert max(r["count"] for r in got) <= 16 and sum(r["count"] for r in got) == 66 and list(starts) == [0]
+
+
+def test_buckets_of_one_key(spark):
+    """Neighbouring keys split to the last bit, and a directory of the smallest capacity stays small."""
+    df = spark.createDataFrame([(6,), (7,), (1 << 62,)], "h long")
+    base, starts = exact_dedup.directory(df, "h", 1)
+    assert sum(map(len, starts.values())) < 64
+    assert exact_dedup._with_bucket(df, "h", base, starts).select("slot", "part").distinct().count() == 3
+
+
+def test_chains_of_colliding_keys(docs, rows, monkeypatch):
+    """With three keys for all texts, owners tell texts apart by their bytes."""
+    want = {tuple(r)[:5] for r in exact_dedup.exact_dedup(docs).collect()}
+    monkeypatch.setattr(exact_dedup, "key_of", lambda norm: F.pmod(F.length(norm), F.lit(3)).cast("long"))
+    got = exact_dedup.exact_dedup(docs, capacity=1).collect()
+    assert {tuple(r)[:5] for r in got} == want and max(r["chain"] for r in got) > 5 and len({r["bucket"] for r in got}) == 3
+
+
+def test_columns_may_clash(spark, empty):
+    odd = spark.createDataFrame([(1, "a b", 5, 6, 7), (None, "a  b", 5, 6, 7), (2, "c", 5, 6, 7)], "doc_id long, text string, _bad_id long, _keep_id long, _id long")
+    assert {r["doc_id"] for r in exact_dedup.keep_one(odd).collect()} == {1, 2}
+    assert ngram_join.keep_one(odd).columns == odd.columns and ngram_join.keep_one(empty).count() == exact_dedup.keep_one(empty).count() == 0
 
 
 def test_lines(docs, rows, odd, empty):
