@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Store, skew_join, text_or_empty
 
-#: Hex digits of the order key that cut a leaf's epoch into pieces: 3 make 4096 pieces, of which one is read row by row.
-PIECE_DIGITS = 3
+#: Hex digits of the order key that cut a leaf's epoch into pieces: 2 make 256 pieces. The piece in which the budget ends
+#: is cut again until it has about so many rows, which are then read one by one.
+PIECE_DIGITS, EDGE_ROWS = 2, 1 << 14
 _SEP = "\x1f"
 
 
@@ -68,6 +69,24 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Mapping[
     return df.select(*levels, "supply", "cap", F.col("_b").alias("budget"))
 
 
+def _edge(placed: DataFrame, plan: DataFrame, ends: DataFrame | None, digits: int, rows: int, store: Store) -> tuple[DataFrame, int]:
+    """The piece in which each leaf's budget ends (_end), the tokens before it (_before) and the digits of pieces.
+
+    ends: those of fewer digits, whose pieces are cut here. Sums of pieces first, so a window has at most
+    16 ** PIECE_DIGITS rows a leaf.
+    """
+    inside = placed.withColumn("_before", F.lit(0).cast("long"))
+    if ends is not None:
+        inside = skew_join(placed, ends, ["_leaf"], "_rows", rows, F.col("_key")).filter(F.substring("_key", 1, digits) == F.col("_end"))
+    digits += PIECE_DIGITS
+    sums = inside.groupBy("_leaf", F.substring("_key", 1, digits).alias("_piece")).agg(F.sum("n_tokens").alias("_t"), F.max("_rest").alias("_rest"), F.max("_before").alias("_before"))
+    over = Window.partitionBy("_leaf").orderBy("_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = sums.withColumn("_to", F.sum("_t").over(over) + F.col("_before"))
+    found = upto.filter("_to > _rest").groupBy("_leaf").agg(F.min(F.struct("_piece", (F.col("_to") - F.col("_t")).alias("_before"))).alias("_end"))
+    found = found.select("_leaf", F.col("_end._piece").alias("_end"), F.col("_end._before").alias("_before")).join(plan.select("_leaf", "_rows"), "_leaf")
+    return store.cut(found, f"ends{digits}"), digits
+
+
 def mix(docs: DataFrame, levels: Sequence[str], weights: Sequence[Mapping[str, int]], share: tuple[int, int] = (1, 2), max_epochs: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """One row per selected document and epoch: doc_id, epoch, the level columns, n_tokens, leaf_budget.
 
@@ -90,17 +109,16 @@ def mix(docs: DataFrame, levels: Sequence[str], weights: Sequence[Mapping[str, i
     plan = store.cut(plan, "plan")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     placed = skew_join(light, plan, ["_leaf"], "_rows", int(rows), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    placed = placed.filter("leaf_budget is not null").withColumn("_key", key).withColumn("_piece", F.substring("_key", 1, PIECE_DIGITS))
+    placed = placed.filter("leaf_budget is not null").withColumn("_key", key)
     placed = store.cut(placed.drop("supply", "_rows"), "placed")
-    # The piece in which a leaf's budget ends: sums of pieces first, so a window has at most 16 ** PIECE_DIGITS rows a leaf.
-    sums = placed.groupBy("_leaf", "_piece").agg(F.sum("n_tokens").alias("_t"), F.max("_rest").alias("_rest"))
-    over = Window.partitionBy("_leaf").orderBy("_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = sums.withColumn("_to", F.sum("_t").over(over)).filter("_to > _rest").groupBy("_leaf").agg(F.min(F.struct("_piece", (F.col("_to") - F.col("_t")).alias("_before"))).alias("_end"))
-    ends = ends.select("_leaf", F.col("_end._piece").alias("_end"), F.col("_end._before").alias("_before")).join(plan.select("_leaf", "_rows"), "_leaf")
-    ends = store.cut(ends, "ends")
-    marked = skew_join(placed, ends, ["_leaf"], "_rows", int(rows), F.col("_key")).drop("_rows")
+    largest = leaves.agg(F.coalesce(F.max("_rows"), F.lit(0))).first()[0]
+    ends, digits = None, 0
+    while ends is None or largest >> (4 * digits) > EDGE_ROWS and digits < 30:
+        ends, digits = _edge(placed, plan, ends, digits, int(rows), store)
+    marked = skew_join(placed, ends, ["_leaf"], "_rows", int(rows), F.col("_key")).drop("_rows").withColumn("_piece", F.substring("_key", 1, digits))
     row = Window.partitionBy("_leaf", "_piece").orderBy("_key", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = marked.filter("_piece = _end").withColumn("_to", F.sum("n_tokens").over(row) + F.col("_before")).withColumn("_in", F.col("_to") <= F.col("_rest")).drop("_to")
+    # A leaf that only reads whole epochs (_rest is 0) has no prefix, not even of documents without tokens.
+    edge = marked.filter("_piece = _end").withColumn("_to", F.sum("n_tokens").over(row) + F.col("_before")).withColumn("_in", (F.col("_to") <= F.col("_rest")) & (F.col("_rest") > 0)).drop("_to")
     plain = marked.filter("_end is null or _piece != _end").withColumn("_in", F.coalesce(F.col("_piece") < F.col("_end"), F.lit(True)) & (F.col("_rest") > 0))
     both = plain.unionByName(edge)
     last = F.when(F.col("_in"), F.col("_full")).otherwise(F.col("_full") - 1)

@@ -82,3 +82,18 @@ def test_mix_takes_prefixes_of_seeded_epochs(docs, rows, odd, empty):
         assert {(r["doc_id"], r["epoch"]) for r in own} == want
     assert mixing.mix(empty, ["lang"], [{}]).count() == 0
     assert mixing.mix(odd, ["lang"], [{}], share=(1, 1)).count() == 4
+
+
+@pytest.mark.parametrize("share", [(2, 1), (3, 4), (0, 1), (9, 1)])
+def test_no_more_epochs_than_allowed(spark, monkeypatch, share):
+    """Half of a leaf's documents are empty; no epoch goes beyond the limit, and prefixes of cut pieces fill the budget."""
+    monkeypatch.setattr(mixing, "PIECE_DIGITS", 1)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 4)
+    rows = [(i, "" if i % 2 else "a b c", "l0") for i in range(600)] + [(1000 + i, None, "l1") for i in range(9)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["source"], [{}], share=share, max_epochs=2).collect()
+    budget = min(900 * share[0] // share[1], 1800)
+    assert all(r["epoch"] < 2 and r["leaf_budget"] == budget for r in got)
+    assert budget - 3 < sum(r["n_tokens"] for r in got) <= budget
+    assert len({(r["doc_id"], r["epoch"]) for r in got}) == len(got)
+    if share[0] > share[1]:
+        assert len(got) == 1200
