@@ -17,7 +17,6 @@ over `length` bytes, and of equal ones only the first in the corpus stays.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from functools import partial
@@ -36,7 +35,7 @@ LENGTH, K = 100, 32
 #: anchor are never split.
 TASK_CONTEXTS, BATCH = 8192, 512
 #: Bytes of text for each range of anchors, and that are looked at together.
-PART_BYTES, CHUNK = 32 << 20, 1 << 18
+PART_BYTES, CHUNK = 4 << 20, 1 << 18
 _LETTER = 8
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
@@ -274,14 +273,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole. Rows without an id lose nothing and cost others nothing. Of rows that repeat an id, equal ones are one text
     that is written out for each, others are ordered by a checksum. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    store = Store(spark, "suffix-dedup")
-
-    def rest() -> None:
-        """Let Spark delete the shuffle files of what has been written out."""
-        gc.collect()
-        spark._jvm.System.gc()
-
+    store = Store(docs.sparkSession, "suffix-dedup")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("bytes")).withColumn("tag", (F.crc32("bytes") % 2147483647).cast("int"))
     long = base.filter((F.length("bytes") >= length) & F.col("doc_id").isNotNull())
     size = base.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
@@ -289,15 +281,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     packed = long.select("doc_id", "bytes").mapInArrow(_pack(partial(_anchor_sets, length=length, k=k), bits, CHUNK), PACKED)
     lists = packed.groupBy("part").applyInArrow(_shared, PACKED).groupBy("block").applyInArrow(_lists(bits), "doc_id long, sig1 long, sig2 long, tokens binary")
     lists = store.cut(lists, "lists")
-    rest()
     occ = long.join(lists, "doc_id").select("doc_id", "bytes", "tag", "sig1", "sig2", "tokens")
     occ = occ.mapInArrow(_contexts(length, k), "h long, doc_id long, tag int, start int, shape int, ctx binary")
     occ = occ.withColumn("c1", F.xxhash64("ctx", "shape")).withColumn("c2", F.xxhash64(F.lit(1), "ctx", "shape"))
     occ = store.cut(occ, "occurrences")
-    rest()
     classes = occ.groupBy("h", "c1", "c2").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("ctx").alias("ctx"))
     classes = store.cut(classes, "classes")
-    rest()
     several = classes.groupBy("h").count().filter("count > 1").select("h")
     mixed = store.cut(classes.join(several, "h", "left_semi").select("h", "c1", "c2", "first", "ctx"), "mixed")
     tasks = max(1, -(-mixed.count() // TASK_CONTEXTS))
@@ -313,6 +302,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = marked.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "shape", F.when(is_first, F.col("gone")).alias("gone"))).alias("found"))
     marked = store.cut(marked, "marked")
     store.drop("occurrences", "classes", "final", "sorted", "lists")
-    rest()
     out = base.join(marked.withColumnsRenamed({"doc_id": "_doc", "tag": "_tag"}), (F.col("doc_id") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "bytes", "found")
     return out.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
