@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,9 +13,15 @@ _WIDE = "０１２３４５６７８９．"
 _PLAIN = "0123456789."
 
 
+def norm_text(text: str | None, unicode: bool = True) -> str:
+    """What norm gives for a text on the driver, such as a rule's keyword."""
+    text = text or ""
+    return unicodedata.normalize("NFKC", text).replace(" ", "").replace("　", "").lower() if unicode else text.replace(" ", "").lower()
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).replace(" ", "").replace("　", "").lower())
+    return text.map(lambda s: None if s is None else norm_text(s))
 
 
 def norm(text: Column, unicode: bool = True) -> Column:
@@ -90,10 +95,6 @@ def yen_text(x: Column) -> Column:
     return F.concat(F.lit("¥"), F.format_number(x, 0))
 
 
-def contains_any(text: Column, words: Column) -> Column:
-    return F.exists(words, lambda w: F.contains(text, w))
-
-
 def hits(text: Column, words: Column) -> Column:
     """How many of the words, blank ones aside, are in the text."""
     return F.size(F.filter(words, lambda w: (w != "") & F.contains(text, w)))
@@ -120,11 +121,3 @@ def bbox_from_array(xs: Column) -> Column:
 
 def regex_escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
-
-
-def case_first(pairs: Sequence[tuple[Column, Column]], default: Column) -> Column:
-    """The value of the first condition that holds."""
-    out = default
-    for condition, value in reversed(pairs):
-        out = F.when(condition, value).otherwise(out)
-    return out

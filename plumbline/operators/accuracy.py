@@ -21,12 +21,27 @@ def first_by_key(items: DataFrame, ties: list[Column]) -> DataFrame:
     return items.groupBy("key").agg(F.min_by(F.struct(*rest), F.struct(*ties)).alias("_r")).select("key", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def _paired(found: DataFrame, truth: DataFrame, ties: list[Column], unicode: bool) -> DataFrame:
+    """One row per key of either side, in one pass over each: the first row of each side (f and t: quantity, category; null
+    without one) by ties, and how many rows each has."""
+
+    def side(df: DataFrame, of: str) -> DataFrame:
+        value, place = F.struct("quantity", "category"), F.struct(*ties)
+        none = [F.lit(None).alias(f"{x}{o}") for o in {"f", "t"} - {of} for x in ("_v", "_p")]
+        return keyed(df, unicode).select("key", value.alias(f"_v{of}"), place.alias(f"_p{of}"), *none)
+
+    both = side(found, "f").unionByName(side(truth, "t"))
+    return both.groupBy("key").agg(*[c for o in "ft" for c in (F.min_by(f"_v{o}", f"_p{o}").alias(o), F.count(f"_p{o}").alias(f"n_{o}"))])
+
+
 def matches(found: DataFrame, truth: DataFrame, ties: list[Column], tolerance: float = 0.05, unicode: bool = True) -> DataFrame:
     """One row per distinct truth key: category, matched, quantity_ok."""
-    a, t = (first_by_key(keyed(x, unicode), ties) for x in (found, truth))
-    both = t.join(a.select("key", F.col("quantity").alias("_found")), "key", "left")
-    ok = F.coalesce(close_to_truth(F.col("_found"), F.col("quantity"), tolerance), F.lit(False))
-    return both.select("key", F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit(UNKNOWN_CATEGORY)).alias("category"), F.col("_found").isNotNull().alias("matched"), ok.alias("quantity_ok"))
+    return _matches(_paired(found, truth, ties, unicode).filter("n_t > 0"), tolerance).drop("n_f", "n_t")
+
+
+def _matches(pairs: DataFrame, tolerance: float) -> DataFrame:
+    ok = F.coalesce(close_to_truth(F.col("f.quantity"), F.col("t.quantity"), tolerance), F.lit(False))
+    return pairs.select("key", F.coalesce(F.nullif(F.col("t.category"), F.lit("")), F.lit(UNKNOWN_CATEGORY)).alias("category"), ((F.col("n_t") > 0) & F.col("f.quantity").isNotNull()).alias("matched"), ((F.col("n_t") > 0) & ok).alias("quantity_ok"), "n_f", "n_t")
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -35,8 +50,8 @@ def _share(a: Column, b: Column) -> Column:
 
 def metrics(found: DataFrame, truth: DataFrame, ties: list[Column], tolerance: float = 0.05, unicode: bool = True) -> DataFrame:
     """Precision over all found rows and recall over all truth rows (repeated keys count), F1 and quantity rate."""
-    m = matches(found, truth, ties, tolerance, unicode).agg(F.count_if("matched").alias("matched"), F.count_if("quantity_ok").alias("qty_match"))
-    one = m.crossJoin(found.agg(F.count(F.lit(1)).alias("n_ai"))).crossJoin(truth.agg(F.count(F.lit(1)).alias("n_truth")))  # single rows
+    m = _matches(_paired(found, truth, ties, unicode), tolerance)
+    one = m.agg(F.count_if("matched").alias("matched"), F.count_if("quantity_ok").alias("qty_match"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("n_f", "n_ai"), ("n_t", "n_truth"))])
     one = one.withColumns({"precision": _share(F.col("matched"), F.col("n_ai")), "recall": _share(F.col("matched"), F.col("n_truth")), "qty_rate": _share(F.col("qty_match"), F.col("matched"))})
     return one.withColumn("f1", _share(F.col("precision") * F.col("recall") * 2.0, F.col("precision") + F.col("recall")))
 

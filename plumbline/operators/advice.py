@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import hits, norm, yen
+from ..functions.scalar import hits, norm, norm_text, yen
 
 
 def price_range_incl_tax(lo: Column, hi: Column, tax: float = 0.10) -> tuple[Column, Column]:
@@ -26,7 +26,7 @@ def diagnose(texts: DataFrame, jobs: DataFrame, text: str, keep: list[str], top:
         return F.struct((-score).alias("minus"), F.lit(r["ord"]).alias("ord"), F.lit(r["name"]).alias("job"), score.alias("score"), lo.alias("price_min"), hi.alias("price_max"), F.lit(r["warranty_months"]).alias("warranty_months"))
 
     def words(r) -> Column:
-        return F.array(*[norm(F.lit(w), False) for w in r["keywords"]]) if r["keywords"] else F.array().cast("array<string>")
+        return F.array(*[F.lit(norm_text(w, unicode)) for w in r["keywords"]]) if r["keywords"] else F.array().cast("array<string>")
 
     scored = F.filter(F.array(*[job(r, hits(hay, words(r))) for r in real]), lambda j: j["score"] > 0)
     best = F.slice(F.array_sort(scored), 1, top)

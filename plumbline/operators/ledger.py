@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import norm
+from ..functions.scalar import norm, norm_text
 from ..rules import DEFAULT_LIFE_LABEL, DEFAULT_YEARS, LEDGER_CATEGORIES
 
 
@@ -25,11 +25,11 @@ def ledger(items: DataFrame, lives: DataFrame, installed_year: Column, current_y
 
     Life rules are configuration of a few rows: they become one CASE, which stops at the first that holds.
     """
-    rows = lives.orderBy("ord").select(F.transform("keywords", lambda k: norm(k, False)).alias("k"), "years", "label").collect()
+    rows = lives.orderBy("ord").select("keywords", "years", "label").collect()
     now = F.lit(current_year) if isinstance(current_year, int) else current_year
     df = items.filter((F.col("unit") == unit) | F.col("category").isin(*categories))
     df = df.withColumn("_hay", norm(F.concat_ws(" ", F.col("name"), F.coalesce("spec", F.lit(""))), unicode))
-    df = df.withColumn("_life", service_life(F.col("_hay"), [(r[0], r[1], r[2]) for r in rows]))
+    df = df.withColumn("_life", service_life(F.col("_hay"), [([norm_text(w, unicode) for w in r[0]], r[1], r[2]) for r in rows]))
     df = df.withColumns({"label": F.col("_life.label"), "service_life": F.col("_life.years"), "installed_year": installed_year.cast("int")}).drop("_hay", "_life")
     df = df.withColumn("recommend_year", F.col("installed_year") + F.col("service_life")).withColumn("remaining", F.col("recommend_year") - now)
     return df.withColumn("state", F.when(F.col("remaining") <= 0, "★更新時期").when(F.col("remaining") <= 5, "要注意").otherwise(""))

@@ -11,35 +11,46 @@ from ..functions.scalar import half_even, yen
 
 #: Weight of each key that a rule fills; a rule's specificity is their sum.
 WEIGHTS = {"vendor_id": 8, "spec": 4, "category": 2, "name": 1}
+#: Rules that are reduced on the driver and broadcast; a larger table is joined as Spark chooses.
+MAX_RULES = 20_000
 _FIELDS = ("unit_price", "unit", "material_ratio", "spec", "category", "name", "vendor_id")
+_PRICE = "unit_price double, unit string, material_ratio double, spec string, category string, name string, vendor_id string"
 
 
 def quote(items: DataFrame, rules: DataFrame, vendor_id: Column | None = None) -> DataFrame:
     """Adds price: struct<unit_price, unit, material_ratio, spec, category, name, vendor_id>, null where no rule matches.
 
     All keys that a rule fills have to equal the item's; the most specific rule wins, then the earliest. There are at
-    most 16 patterns of filled keys: each is an equality join on those keys (Spark broadcasts rule tables below its
-    threshold), tried from the most specific. Units are not compared; unit_mismatch says where they differ.
+    most 16 patterns of filled keys: each is an equality join on those keys, tried from the most specific. Up to MAX_RULES
+    rules are read once and broadcast, so that the items are not shuffled. Units are not compared; unit_mismatch says
+    where they differ.
     """
     base = items.withColumn("_vendor", vendor_id.cast("string") if vendor_id is not None else F.lit(None).cast("string"))
     mine = {"vendor_id": "_vendor", "spec": "spec", "category": "category", "name": "name"}
     shape = sum((F.when(F.col(k).isNotNull(), w).otherwise(0) for k, w in WEIGHTS.items()), F.lit(0))
     rules = rules.withColumn("_s", shape)
-    there = {r[0] for r in rules.select("_s").distinct().collect()}
+    few = rules.select("ord", "_s", *_FIELDS).limit(MAX_RULES + 1).collect()
+    small = len(few) <= MAX_RULES
+    there = {r["_s"] for r in few} if small else {r[0] for r in rules.select("_s").distinct().collect()}
     found = []
     for pattern in sorted(product((1, 0), repeat=4), reverse=True):
         keys = [k for k, on in zip(WEIGHTS, pattern, strict=True) if on]
         s = sum(WEIGHTS[k] for k in keys)
         if s not in there:
             continue
-        best = rules.filter(F.col("_s") == s).groupBy(*[F.col(k).alias(f"_r_{k}") for k in keys]).agg(F.min_by(F.struct(*_FIELDS), "ord").alias(f"_p{s}"))
+        if small:
+            first = {tuple(r[k] for k in keys): r for r in sorted((r for r in few if r["_s"] == s), key=lambda r: r["ord"], reverse=True)}
+            part = items.sparkSession.createDataFrame([tuple(r[f] for f in _FIELDS) for r in first.values()], _PRICE)
+            best = F.broadcast(part.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.struct(*_FIELDS).alias(f"_p{s}")))
+        else:
+            best = rules.filter(F.col("_s") == s).groupBy(*[F.col(k).alias(f"_r_{k}") for k in keys]).agg(F.min_by(F.struct(*_FIELDS), "ord").alias(f"_p{s}"))
         if keys:
             on = [F.col(mine[k]) == F.col(f"_r_{k}") for k in keys]
             base = base.join(best, on, "left").drop(*[f"_r_{k}" for k in keys])
         else:
             base = base.crossJoin(F.broadcast(best))  # one row: the rule without keys
         found.append(f"_p{s}")
-    price = F.coalesce(*[F.col(c) for c in found]) if found else F.lit(None).cast("struct<unit_price:double,unit:string,material_ratio:double,spec:string,category:string,name:string,vendor_id:string>")
+    price = F.coalesce(*[F.col(c) for c in found]) if found else F.lit(None).cast(f"struct<{_PRICE.replace(' ', ':').replace(',:', ',')}>")
     out = base.withColumn("price", price).drop("_vendor", *found)
     return out.withColumn("unit_mismatch", F.coalesce(F.col("price.unit") != F.col("unit"), F.lit(False)))
 

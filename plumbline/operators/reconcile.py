@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 _COLUMNS = ["ord", "name", "spec", "quantity", "unit", "location", "confidence", "source"]
 
 
+@lru_cache(1 << 16)
 def _plain(text: object) -> str:
     return unicodedata.normalize("NFKC", text).replace(" ", "").replace("　", "").lower() if isinstance(text, str) else ""
 

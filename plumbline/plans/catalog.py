@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.scalar import bbox_from_array, norm, number_text, yen_text
+from ..functions.scalar import bbox_from_array, close_to_larger, close_to_truth, norm, number_text, spec_match, yen_text
 from ..operators import accuracy, advice, extract, geometry, ledger, pricing, produce, reconcile, validate
 from ..operators import items as items_of
 from ..operators.classify import classify, number_within
 from ..rules import DEFAULT_CATEGORY
-from ..sources import sinks
+from ..sources import files, sinks
+from ..sources.shared import shared_path
 from . import demo_rules as R
+from . import reports
 from .catalog_sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,8 +237,7 @@ def event_json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("name", "unit").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
 
 
-@query
-def measures_to_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def measure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, s = F.col("p_type"), F.col("p_size")
     kinds = {"PROMO": "角ダクト", "MEDIUM": "丸ダクト", "SMALL": "配管", "LARGE": "台数", "ECONOMY": "個数"}
     kind = F.lit("")
@@ -247,7 +248,7 @@ def measures_to_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     def text(c: Column) -> Column:
         return c.cast("string")
 
-    rows = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         "p_partkey",
         kind.alias("kind"),
         F.when(s % 2 == 0, F.col("p_name")).alias("name"),
@@ -261,17 +262,20 @@ def measures_to_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("confidence"),
         F.lit(" site ").alias("location"),
     )
-    return produce.measure_items(rows, ["p_partkey"])
 
 
 @query
-def rooms_to_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def measures_to_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return produce.measure_items(measure_rows(spark, sf_dir), ["p_partkey"])
+
+
+def room_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("p_size")
 
     def some(condition: Column, value: Column) -> Column:
         return F.when(condition, value).cast("string")
 
-    rows = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         "p_partkey",
         F.col("p_name").alias("室名"),
         some(s % 4 != 0, s / 4).alias("width_m"),
@@ -284,7 +288,43 @@ def rooms_to_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(s % 6 == 0, " 壁 ; 床").when(s % 6 == 1, "天井、床").alias("surfaces"),
         some(s % 2 == 1, s).alias("thickness_mm"),
     )
-    return produce.room_items(produce.read_rooms(rows, ["p_partkey"]), ["p_partkey"])
+
+
+@query
+def rooms_to_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return produce.room_items(produce.read_rooms(room_rows(spark, sf_dir), ["p_partkey"]), ["p_partkey"])
+
+
+def json_files(df: DataFrame, key: str, name: str, kind: str = "") -> str:
+    """df as files that hold an array of a thousand keys' rows each, or an object with that array under `kind`."""
+    path = shared_path(df.sparkSession, name)
+    rows = df.groupBy(F.floor(F.col(key) / 1000).alias("file")).agg(F.sort_array(F.collect_list(F.struct(key, F.to_json(F.struct(*df.columns)).alias("j")))).alias("r"))
+    body = F.concat(F.lit("["), F.concat_ws(",", "r.j"), F.lit("]"))
+    body = F.concat(F.lit('{"' + kind + '": '), body, F.lit("}")) if kind else body
+    rows.select("file", body.alias("value")).repartition("file").write.mode("overwrite").partitionBy("file").text(path)
+    return path
+
+
+@query
+def json_source_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rooms written as JSON, read by the JSON source; a room's name is its key there."""
+    rows = room_rows(spark, sf_dir).withColumn("室名", F.col("p_partkey").cast("string"))
+    raw = files.read_json(spark, json_files(rows, "p_partkey", "rooms", "rooms"), "rooms").withColumn("p_partkey", F.col("室名").cast("long"))
+    return produce.room_items(produce.read_rooms(raw, ["p_partkey"]), ["p_partkey"])
+
+
+@query
+def json_source_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.concat(F.lit('"'), "p_brand", F.lit('", \\ 径')).alias("spec"), F.col("p_size").alias("quantity"), F.when(F.col("p_size") % 2 == 0, "m").alias("unit"))
+    got = files.read_json(spark, json_files(part, "p_partkey", "items"), "items")
+    return got.groupBy("spec", "unit").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("quantity").cast("double")).alias("quantity"), F.max("ord").alias("last"))
+
+
+@query
+def csv_source_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "measures")
+    sinks.write_sheet(measure_rows(spark, sf_dir), path)
+    return produce.measure_items(files.read_csv(spark, path).withColumn("p_partkey", F.col("p_partkey").cast("long")), ["p_partkey"])
 
 
 @query
@@ -358,6 +398,15 @@ def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.correction_stats(corrections(spark, sf_dir))
 
 
+@query
+def corrections_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrections appended to a log in two parts and read back."""
+    path, all_ = shared_path(spark, "corrections"), corrections(spark, sf_dir)
+    for part in (F.col("source") == "ui", F.col("source") != "ui"):
+        all_.filter(part).write.mode("append").json(path)
+    return accuracy.correction_stats(files.read_corrections(spark, path))
+
+
 @query
 def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.training_pairs(corrections(spark, sf_dir)).select("project", "ts", F.col("input.quantity").alias("before"), F.col("label.quantity").alias("after"))
@@ -366,7 +415,7 @@ def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def diagnose_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = spark.createDataFrame([(i, n, list(k), lo, hi, "", w) for i, (n, k, lo, hi, w) in [(-1, R.FALLBACK), *enumerate(R.JOBS)]], schema.JOB)
-    return advice.diagnose(table(spark, sf_dir, "documents"), jobs, "text", ["doc_id"], unicode=False)
+    return advice.diagnose(table(spark, sf_dir, "documents"), jobs, "text", ["doc_id"], unicode=True)
 
 
 @query
@@ -375,6 +424,46 @@ def resolve_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advice.resolve_authority(table(spark, sf_dir, "nation"), places, "n_name").select("n_name", "form_name", "authority")
 
 
+@query
+def classify_fullwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in full-width letters find the same entries as plain ones."""
+    plain = "".join(map(chr, range(0x21, 0x7F)))
+    wide = F.translate("name", plain + " ", "".join(chr(ord(c) + 0xFEE0) for c in plain) + "\u3000")
+    got = classify(items(spark, sf_dir).withColumn("name", wide), entries(spark))
+    return got.groupBy("category", "matched", "unit").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"), F.countDistinct("name").alias("names"))
+
+
+@query
+def specs_and_tolerances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts' names agree with their brand and type as specs do, and which sizes are near the next key's size class."""
+    a, b = norm(F.col("p_name"), False), norm(F.concat(F.element_at(F.split("p_name", " "), 2), F.lit(" "), F.col("p_brand")), False)
+    short = norm(F.element_at(F.split("p_name", " "), -1), False)
+    size, other = F.col("p_size").cast("double"), (F.col("p_size") + F.col("p_partkey") % 3).cast("double")
+    return table(spark, sf_dir, "part").select("p_partkey", spec_match(a, b).alias("brand_in"), spec_match(a, short).alias("word_in"), close_to_larger(size, other).alias("near_larger"), close_to_truth(other, size).alias("near_truth"))
+
+
+def report(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([(i, x) for i, x in enumerate(text.split("\n"))], "line long, text string")
+
+
+@query
+def application_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draft of an application over all items, line by line."""
+    rows = classified(spark, sf_dir)
+    form = {"form_name": "form", "authority": "office", "submit": "", "documents": ["plan", "list"], "notes": ""}
+    project = dict.fromkeys(("contractor_name", "contractor_number", "chief_engineer", "project_name", "address", "owner"), "x") | {"work_type": "new"}
+    return report(spark, reports.application(project, form, items_of.summarize_pipes(rows, ("給水", "給湯")), items_of.summarize_pipes(rows, ("排水",)), items_of.summarize_fixtures(rows)))
+
+
+@query
+def quote_card_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The card of prices for the jobs that most documents speak of."""
+    every = diagnose_text(spark, sf_dir).groupBy("job", "price_min", "price_max", "warranty_months").agg(F.count(F.lit(1)).alias("n"))
+    top = every.orderBy(F.desc("n"), "job").limit(3)
+    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "job")))  # three rows
+    return report(spark, reports.quote_card("", ranked))
+
+
 @query
 def dictionary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate(entries(spark, R.FAULTY))

@@ -110,6 +110,54 @@ c AS (
     CASE WHEN user_id % 5 <> 0 THEN CASE WHEN user_id % 3 = 0 THEN value ELSE value + 1 END ELSE CASE WHEN user_id % 2 = 0 THEN value END END AS after FROM events
 )"""
 
+
+
+def _plain(x: str) -> str:
+    return f"replace(lower(coalesce({x}, '')), ' ', '')"
+
+
+def _alike(a: str, b: str) -> str:
+    return f"({a} <> '' AND {b} <> '' AND ({a} = {b} OR (least(length({a}), length({b})) >= 3 AND (contains({a}, {b}) OR contains({b}, {a})))))"
+
+
+def _row(**fields: str) -> str:
+    own = {c: f"s.{c}" for c in ("ord", "name", "spec", "quantity", "unit", "location", "confidence", "source")}
+    return "struct_pack(" + ", ".join(f"{k} := {fields.get(k, v)}" for k, v in own.items()) + ")"
+
+
+#: Rows of a page fold one after another into the page: the spec finds its row, else the name, else the row is new.
+_RECONCILE = f"""WITH RECURSIVE {_ITEMS},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY {_TIES}) AS ord FROM items),
+pages AS (
+  SELECT project_id, coalesce(list({_row()} ORDER BY s.ord) FILTER (s.status = 'O'), []) AS page, coalesce(list({_row()} ORDER BY s.ord) FILTER (s.status = 'F'), []) AS tab FROM numbered s GROUP BY project_id
+),
+fold AS (
+  SELECT project_id, page, tab, 0 AS k FROM pages
+  UNION ALL
+  SELECT project_id, CASE WHEN place IS NULL THEN list_append(page, {_row(**{c: f"t.{c}" for c in ("name", "spec", "quantity", "unit", "location", "confidence")}, ord="coalesce(list_max(list_transform(page, lambda s: s.ord)), -1) + 1", source="'text_table'")})
+    ELSE list_transform(page, lambda s, i: CASE WHEN i = place THEN {_row(spec="CASE WHEN t.spec <> '' AND coalesce(trim(s.spec), '') = '' THEN t.spec ELSE s.spec END", quantity="t.quantity", confidence="greatest(s.confidence, 0.95::DOUBLE)", source="'reconciled'")} ELSE s END) END, tab, k + 1
+  FROM (
+    SELECT *, coalesce(nullif(list_position(list_transform(page, lambda s: {_alike(_plain("s.spec"), _plain("t.spec"))}), true), 0),
+      nullif(list_position(list_transform(page, lambda s: {_plain("s.name")} <> '' AND {_plain("t.name")} <> '' AND ({_plain("s.name")} = {_plain("t.name")} OR (length({_plain("s.name")}) >= 3 AND contains({_plain("t.name")}, {_plain("s.name")})))), true), 0)) AS place
+    FROM (SELECT *, tab[k + 1] AS t FROM fold WHERE k < len(tab))
+  )
+)
+SELECT project_id, unnest(page, recursive := true) FROM fold WHERE k = len(tab)"""
+
+_PIPE_LINES = """
+pipes AS (
+  SELECT category AS system, 'DN' || regexp_extract(spec, 'DN(\\d{1,3})', 1) AS caliber, sum(quantity) AS length, string_agg(DISTINCT split_part(spec, ' ', 1), '、' ORDER BY split_part(spec, ' ', 1)) AS material
+  FROM classified WHERE category IN ('給水', '給湯', '排水') AND unit = 'm' GROUP BY 1, 2
+), fixtures AS (SELECT name, sum(quantity) AS quantity FROM classified WHERE category = '衛生器具' GROUP BY name),
+pipe_lines AS (SELECT system <> '排水' AS wet, system, caliber, '| ' || system || ' | ' || caliber || ' | ' || material || ' | ' || length::BIGINT || ' |' AS text FROM pipes)"""
+
+
+def _pipe_section(where: str) -> str:
+    return f"""coalesce(['| 系統 | 口径 | 管種 | 延長(m) |', '| --- | --- | --- | --- |'] || (SELECT list(text ORDER BY system, caliber) FROM pipe_lines WHERE {where}), ['（該当なし）'])"""
+
+
+_CARD_TAIL = ", ".join(f"'- {x}:'" for x in ("実施作業", "使用部材", "写真", "実施金額", "保証期間", "担当者"))
+
 ORACLES: dict[str, str] = {
     "flagship_estimate_by_category": f"{_totals('category')} SELECT category, n_lines, subtotal, material, labor, overhead, total_ex_tax, tax, total_ex_tax + tax AS total FROM t",
     "classify_items": f"WITH {_CLASSIFIED} SELECT project_id, page, name, spec, quantity, unit, category, matched FROM classified",
@@ -204,6 +252,17 @@ p AS (
   UNION ALL SELECT o_orderkey, 3, '仕切弁', spec, round_even(v * span, 0), '個', place, 0.75::DOUBLE FROM q
 )
 SELECT * FROM p WHERE quantity > 0""",
+    "reconcile_table": _RECONCILE,
+    "classify_fullwidth": f"""WITH {_CLASSIFIED} SELECT category, matched, unit, count(*) AS n, sum(quantity) AS quantity, count(DISTINCT name) AS names FROM classified GROUP BY category, matched, unit""",
+    "specs_and_tolerances": f"""
+WITH p AS (SELECT p_partkey, {_plain("p_name")} AS a, {_plain("split_part(p_name, ' ', 2) || ' ' || p_brand")} AS b, {_plain("split_part(p_name, ' ', -1)")} AS c, p_size::DOUBLE AS x, (p_size + p_partkey % 3)::DOUBLE AS y FROM part)
+SELECT p_partkey, {_alike("a", "b")} AS brand_in, {_alike("a", "c")} AS word_in, abs(x - y) <= 0.05::DOUBLE * greatest(x, y) AS near_larger, abs(x - y) <= 0.05::DOUBLE * x AS near_truth FROM p""",
+    "application_report": f"""WITH {_CLASSIFIED}, {_PIPE_LINES}, t AS (
+SELECT ['# form（ドラフト）', '', '提出先: office', '', '## 申請者', '', '- 工事事業者: x（x）', '- 主任技術者: x', '', '## 工事場所', '', '- 物件名: x', '- 住所: x', '- 施主: x', '- 工事種別: new', '', '## 給水装置', '']
+  || {_pipe_section("wet")} || ['', '合計延長: ' || (SELECT coalesce(sum(length), 0)::BIGINT FROM pipes WHERE system <> '排水') || ' m', '', '## 衛生器具', '']
+  || coalesce(['| 器具 | 数量 |', '| --- | --- |'] || (SELECT list('| ' || name || ' | ' || quantity::BIGINT || ' |' ORDER BY name) FROM fixtures), ['（該当なし）'])
+  || ['', '## 排水設備（参考）', ''] || {_pipe_section("NOT wet")} || ['', '## 提出書類', '', '- [ ] plan', '- [ ] list'] AS lines
+) SELECT generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS text FROM t""",
     "accuracy_metrics": f"""WITH {_sides()},
 s AS (SELECT count(*) FILTER (matched) AS matched, count(*) FILTER (ok) AS qty_match, (SELECT count(*) FROM items WHERE status = 'O') AS n_ai, (SELECT count(*) FROM items WHERE status = 'F') AS n_truth FROM m),
 p AS (SELECT *, CASE WHEN n_ai > 0 THEN matched::DOUBLE / n_ai ELSE 0.0::DOUBLE END AS precision, CASE WHEN n_truth > 0 THEN matched::DOUBLE / n_truth ELSE 0.0::DOUBLE END AS recall, CASE WHEN matched > 0 THEN qty_match::DOUBLE / matched ELSE 0.0::DOUBLE END AS qty_rate FROM s)
@@ -259,3 +318,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY org_id, slug ORDER BY CASE WHEN
 SELECT org_id, slug, version, status FROM r WHERE rn = 1""",
     "item_json": f"WITH {_CLASSIFIED} SELECT category, unit, count(*) AS n, sum(quantity) AS quantity FROM classified WHERE category <> 'その他' GROUP BY category, unit",
 }
+ORACLES["csv_source_measures"] = ORACLES["measures_to_items"]
+ORACLES["json_source_rooms"] = ORACLES["rooms_to_items"].replace("SELECT p_partkey, p_name,", "SELECT p_partkey, p_partkey::VARCHAR AS p_name,")
+ORACLES["corrections_log"] = ORACLES["feedback_stats"]
+ORACLES["json_source_items"] = """
+SELECT '"' || p_brand || '", \\ 径' AS spec, CASE WHEN p_size % 2 = 0 THEN 'm' END AS unit, count(*) AS n, sum(p_size)::DOUBLE AS quantity, max(ord) AS last
+FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey) - 1 AS ord FROM part) GROUP BY 1, 2"""
+ORACLES["quote_card_report"] = f"""
+WITH d AS ({ORACLES["diagnose_text"]}), n AS (SELECT job, price_min, price_max, warranty_months, count(*) AS n FROM d GROUP BY ALL ORDER BY n DESC, job LIMIT 3),
+t AS (SELECT ['# 透明見積カード', '', '## ご相談内容', '', '> （未入力）', '', '## 作業と料金めやす（税込）', '', '| 作業 | 料金めやす | 保証 |', '| --- | --- | --- |']
+  || (SELECT list('| ' || job || ' | ¥' || format('{{:,}}', price_min) || '〜¥' || format('{{:,}}', price_max) || ' | ' || CASE WHEN warranty_months > 0 THEN warranty_months || 'ヶ月' ELSE '—' END || ' |' ORDER BY n DESC, job) FROM n)
+  || ['', '## 作業記録', '', {_CARD_TAIL}] AS lines)
+SELECT generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS text FROM t"""
