@@ -203,6 +203,18 @@ def symbol_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(",", extract.symbol_codes(text)).alias("codes"))
 
 
+@query
+def page_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions about pages, tiles and what a first pass has missed."""
+    code = F.concat(F.lit("GR"), F.col("p_size").cast("string"))
+    text = F.when(F.col("p_size") % 4 != 0, F.concat(F.col("p_name"), F.lit(" "), code, F.lit(" AHU1 "), F.repeat(F.lit("x"), F.col("p_size") * 300)))
+    item = F.struct(F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, F.lower(code)).alias("spec"), F.lit("").alias("location"))
+    found = F.when(F.col("p_size") % 5 != 0, F.array(item)).otherwise(F.array().cast("array<struct<name:string,spec:string,location:string>>"))
+    rows = table(spark, sf_dir, "part").withColumns({"text": text, "found": found}).withColumn("codes", extract.symbol_codes(F.coalesce("text", F.lit(""))))
+    size = F.col("p_size")
+    return rows.select("p_partkey", files.page_prompt(size, F.col("text"), F.col("codes")).alias("whole"), files.tile_prompt(size, F.lit(0), F.lit(1), 2, F.col("text"), F.col("codes")).alias("tile"), files.check_prompt(size, F.col("text"), F.col("codes"), F.col("found")).alias("check"))
+
+
 @query
 def legend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
@@ -483,10 +495,11 @@ def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bbox_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.when(F.col("vec_id") % 3 != 0, F.transform(F.slice("embedding", 1, 4), lambda x: (x * 100).cast("double")))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("page"), bbox_from_array(box).alias("bbox"))
+    category = F.when(F.col("vec_id") % 4 == 0, "床").when(F.col("vec_id") % 4 == 1, "?")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("page"), bbox_from_array(box).alias("bbox"), category.alias("category"))
     pages = rows.filter("page % 2 = 0").select("page").distinct()
     out = geometry.markers(rows, pages, ["page"], 200.0)
-    return out.select("vec_id", "page", *[F.round(F.col(f"{s}.{c}"), 4).alias(f"{s}_{c}") for s in ("box", "label") for c in ("x0", "y0", "x1", "y1")])
+    return out.select("vec_id", "page", F.col("colour.b").alias("blue"), *[F.round(F.col(f"{s}.{c}"), 4).alias(f"{s}_{c}") for s in ("box", "label") for c in ("x0", "y0", "x1", "y1")])
 
 
 @query

@@ -205,6 +205,17 @@ UNION ALL SELECT p_partkey, 2, p_name || ' 80A', '80A', p_size::DOUBLE, '個', 0
     "symbol_codes": r"""
 WITH t AS (SELECT p_partkey, 'AND GR' || p_size || ' EI2-GR06 THE P02 lower a1 FCU-2 EI' || p_size % 10 || '_X GR' || p_size AS text FROM part)
 SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\b([A-Z]{1,4}[0-9]{1,2}[-_]?[A-Z0-9]{0,4})\b', 1))), ',') AS codes FROM t""",
+    "page_prompts": r"""
+WITH p AS (
+  SELECT p_partkey, p_size AS s, 'GR' || p_size AS code, CASE WHEN p_size % 4 <> 0 THEN p_name || ' GR' || p_size || ' AHU1 ' || repeat('x', p_size * 300) END AS text,
+    CASE WHEN p_size % 5 = 0 THEN '  (なし)' ELSE '  - ' || p_name || ' / spec=' || CASE WHEN p_size % 3 = 0 THEN 'gr' || p_size ELSE '-' END || ' / loc=-' END AS found FROM part
+), c AS (
+  SELECT *, CASE WHEN text IS NULL THEN '' ELSE E'\n\n## 記号コード\nAHU1, ' || code END AS codes,
+    CASE WHEN text IS NULL THEN '' WHEN s % 5 <> 0 AND s % 3 = 0 THEN E'\n\n## 未抽出の記号コード\nAHU1' ELSE E'\n\n## 未抽出の記号コード\nAHU1, ' || code END AS missing FROM p
+)
+SELECT p_partkey, '## ページ ' || s || E'\n項目を JSON 配列で。\nテキスト層: ' || coalesce(left(text, 8000), '(なし)') || codes AS whole,
+  '## ページ ' || s || ' タイル 2x2 (1, 2)' || E'\n項目を JSON 配列で。\nテキスト層: ' || coalesce(left(text, 2000), '(なし)') || codes AS tile,
+  '## ページ ' || s || E' 追加漏れ確認\n抽出済み:\n' || found || missing || E'\n載っていない項目を JSON 配列で。\nテキスト層: ' || coalesce(left(text, 2000), '(なし)') AS "check" FROM c""",
     "legend_counts": """
 WITH k AS (SELECT s_suppkey, s_suppkey % 5 AS sa, s_suppkey % 3 AS ea FROM supplier)
 SELECT s_suppkey, '吹出口' AS name, 'SA' AS spec, (sa + 1)::DOUBLE AS quantity, '個' AS unit, 0.7::DOUBLE AS confidence, 'legend_count' AS source FROM k
@@ -306,7 +317,7 @@ WITH p AS (SELECT page_id, (page_id % 7 * 90 + 900)::DOUBLE / 3.0::DOUBLE AS w,
 SELECT page_id, r.i::INT AS row, c.i::INT AS col, c.i * w AS x0, r.i * h AS y0, (c.i + 1) * w AS x1, (r.i + 1) * h AS y1 FROM p, range(3) r(i), range(3) c(i)""",
     "bbox_points": """
 WITH b AS (SELECT vec_id, label::INT AS page, list_transform(embedding[1:4], lambda x: (x * 100)::DOUBLE * (72.0::DOUBLE / 200.0::DOUBLE)) AS p FROM embeddings WHERE vec_id % 3 <> 0 AND label % 2 = 0)
-SELECT vec_id, page, round(p[1], 4) AS box_x0, round(p[2], 4) AS box_y0, round(p[3], 4) AS box_x1, round(p[4], 4) AS box_y1,
+SELECT vec_id, page, CASE WHEN vec_id % 4 = 0 THEN 0.95::DOUBLE ELSE 0.55::DOUBLE END AS blue, round(p[1], 4) AS box_x0, round(p[2], 4) AS box_y0, round(p[3], 4) AS box_x1, round(p[4], 4) AS box_y1,
   round(p[1], 4) AS label_x0, round(greatest(p[2] - 14.0::DOUBLE, 0.0::DOUBLE), 4) AS label_y0, round(p[1] + 180.0::DOUBLE, 4) AS label_x1, round(greatest(p[2] - 2.0::DOUBLE, 12.0::DOUBLE), 4) AS label_y1 FROM b""",
     "tenant_scope": """
 SELECT o_orderkey, c_nationkey::BIGINT AS org_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 4 = 1)""",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.scalar import truthy
 
 #: Columns that a JSON source may have, by kind; each is read as text.
 COLUMNS = {
@@ -73,9 +74,39 @@ def ask(pages: DataFrame, complete: Callable[[str], str], prompt: str, keep: lis
     return pages.select(*keep, prompt).mapInPandas(run, ", ".join([*[f"`{k}` {types[k]}" for k in keep], "reply string"]))
 
 
-def page_prompt(page: Column, text: Column, codes: Column, text_limit: int = 8000, code_limit: int = 60) -> Column:
-    """What is asked about a page: its number, its text layer and the codes in it, each up to a limit."""
-    return F.concat_ws("\n", F.concat(F.lit("page "), page.cast("string")), F.substring(F.coalesce(text, F.lit("")), 1, text_limit), F.concat_ws(", ", F.slice(codes, 1, code_limit)))
+#: Characters of a page's text, codes and items that a question holds at most: of a whole page, of a tile, of a check.
+WHOLE, TILE, CHECK = (8000, 60, 0), (2000, 60, 0), (2000, 40, 60)
+_NONE = "(なし)"
+
+
+def _codes(codes: Column, most: int, label: str) -> Column:
+    listed = F.concat_ws(", ", F.slice(codes, 1, most))
+    return F.when(listed != "", F.concat(F.lit(f"\n\n## {label}\n"), listed)).otherwise(F.lit(""))
+
+
+def _layer(text: Column, most: int) -> Column:
+    return F.substring(F.coalesce(F.nullif(text, F.lit("")), F.lit(_NONE)), 1, most)
+
+
+def page_prompt(page: Column, text: Column, codes: Column) -> Column:
+    """What is asked about a whole page: its number, its text layer and the codes in it, each up to a limit."""
+    return F.concat(F.lit("## ページ "), page.cast("string"), F.lit("\n項目を JSON 配列で。\nテキスト層: "), _layer(text, WHOLE[0]), _codes(codes, WHOLE[1], "記号コード"))
+
+
+def tile_prompt(page: Column, row: Column, col: Column, grid: int, text: Column, codes: Column) -> Column:
+    """What is asked about a tile (rows and columns from 0); the text layer is the page's."""
+    place = F.concat(F.lit(f" タイル {grid}x{grid} ("), (row + 1).cast("string"), F.lit(", "), (col + 1).cast("string"), F.lit(")"))
+    return F.concat(F.lit("## ページ "), page.cast("string"), place, F.lit("\n項目を JSON 配列で。\nテキスト層: "), _layer(text, TILE[0]), _codes(codes, TILE[1], "記号コード"))
+
+
+def check_prompt(page: Column, text: Column, codes: Column, found: Column) -> Column:
+    """What is asked in a second pass: the items there are (found: array of name, spec, location), the codes that none of
+    their specs is, and the page's text layer."""
+    said = F.transform(F.slice(found, 1, CHECK[2]), lambda i: F.concat(F.lit("  - "), i["name"], F.lit(" / spec="), F.coalesce(truthy(i["spec"]), F.lit("-")), F.lit(" / loc="), F.coalesce(truthy(i["location"]), F.lit("-"))))
+    have = F.transform(found, lambda i: F.lower(F.replace(F.coalesce(i["spec"], F.lit("")), F.lit(" "), F.lit(""))))
+    missing = F.filter(codes, lambda c: ~F.array_contains(have, F.lower(c)))  # codes are ASCII, so specs that equal one are too
+    listed = F.coalesce(truthy(F.concat_ws("\n", said)), F.lit(f"  {_NONE}"))
+    return F.concat(F.lit("## ページ "), page.cast("string"), F.lit(" 追加漏れ確認\n抽出済み:\n"), listed, _codes(missing, CHECK[1], "未抽出の記号コード"), F.lit("\n載っていない項目を JSON 配列で。\nテキスト層: "), _layer(text, CHECK[0]))
 
 
 def local_text(path: str) -> str | None:

@@ -332,3 +332,14 @@ def test_sinks(spark, tmp_path):
     assert {r["name"] for r in spark.read.parquet(path).collect()} == {"a", "n", "c"}
     merged = sinks.upsert(table.withColumn("v", F.lit(9)), new.withColumn("v", F.lit(1)), ["project_id"], F.col("v"))
     assert {r["project_id"]: r["name"] for r in merged.collect()} == {1: "a", 2: "n", 3: "c"}
+
+
+def test_pictures_shrink_until_they_fit():
+    asked = []
+
+    def render(dpi):
+        asked.append(dpi)
+        return b"x" * int(dpi * 100)
+
+    assert geometry.render_within(render, 200, limit=12_000) == (b"x" * 11_250, 112.5) and asked == [200, 150, 112.5]
+    assert geometry.render_within(render, 80, limit=1)[1] == 72
