@@ -56,6 +56,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
         files, path = self._files("")
         files.mkdirs(path)
         files.deleteOnExit(path)
@@ -72,13 +73,37 @@ class Store:
     def cut(self, df: DataFrame, table: str, *partition_by: str) -> DataFrame:
         """Write df and return it as read back; this ends its lineage, so its shuffle files go when it is written."""
         writer = df.write.mode("overwrite").option("compression", "zstd")
+        with self._freeing():
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(table))
+        return self.read(table, df)
+
+    def cut_buckets(self, df: DataFrame, table: str, buckets: int, *keys: str, partition_by: str) -> DataFrame:
+        """Write df bucketed and sorted by keys, in a partition for each value of a column, and return it as read back.
+
+        Joins on keys with what is dealt into as many parts need no exchange of it. The table's name is in the catalogue
+        until forget().
+        """
+        self.tables[table] = f"{self.root.rsplit('/', 1)[-1]}_{table}".replace("-", "_")
+        dealt = df.repartition(buckets, *keys).sortWithinPartitions(*keys)
+        writer = dealt.write.format("parquet").mode("overwrite").option("compression", "zstd").option("path", self.path(table))
+        with self._freeing():
+            writer.partitionBy(partition_by).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(self.tables[table])
+        return self.spark.table(self.tables[table])
+
+    def forget(self, *tables: str) -> None:
+        """Drop bucketed tables from the catalogue, and their files."""
+        for table in tables or tuple(self.tables):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(table)}")
+            self.drop(table)
+
+    @contextmanager
+    def _freeing(self) -> Iterator[None]:
         before = self.spark.conf.get(CLEAN_SHUFFLES)
         self.spark.conf.set(CLEAN_SHUFFLES, "true")
         try:
-            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(table))
+            yield
         finally:
             self.spark.conf.set(CLEAN_SHUFFLES, before)
-        return self.read(table, df)
 
     def read(self, table: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(table))

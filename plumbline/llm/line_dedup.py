@@ -1,9 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run holds, for each line key that a batch of documents has, the number of documents with it and the largest id.
-Batches hold different documents, so runs add up. A new batch is joined against the runs there are: the keys that no
-run has (the anti join) are new lines, the others repeat. The batch then becomes a run of level 0, and when a level
-has `fanout` runs they are merged into one of the next level, so a lookup meets few runs however many batches came.
+A batch of documents has, for each line key, the number of its documents with it and the largest id. It is merge-joined
+with the runs there are: keys that no run has (the anti join) are fresh and become a run of level 0, so that runs never
+share a key; the others repeat a key that a run has, and only their counts are kept beside the runs, as updates. When a
+level has `fanout` runs they are merged into one of the next level, so a lookup meets few runs however many batches came.
+Runs are bucketed and sorted by key: joins with them move no run.
 """
 
 from __future__ import annotations
@@ -50,65 +51,73 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.mapInArrow(run, LINES)
 
 
+KEY = ["h1", "h2"]
+
+
 class LineRuns:
-    """The levelled runs, in the shared folder."""
+    """The levelled runs and the updates of their keys, in the shared folder."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2) -> None:
-        self.store, self.fanout, self.levels, self.made = Store(spark, "line-runs"), fanout, [[]], 0
+        self.store, self.fanout, self.made = Store(spark, "line-runs"), fanout, 0
+        #: As many buckets as Spark deals shuffles into, so that both sides of a join lie alike.
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[DataFrame]] = [[]]
+        self.updates: list[DataFrame] = []
 
     def _runs(self) -> list[DataFrame]:
-        return [df for level in self.levels for _, df in level]
+        return [run for level in self.levels for run in level]
 
-    def _write(self, run: DataFrame) -> tuple[str, DataFrame]:
+    def _write(self, rows: DataFrame) -> DataFrame:
         self.made += 1
-        name = f"run{self.made}"
-        return name, self.store.cut(run.repartitionByRange("h1").sortWithinPartitions("h1", "h2"), name)
+        return self.store.cut_buckets(rows, f"run{self.made}", self.buckets, *KEY, partition_by="seen")
 
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        union = runs[0]
-        for r in runs[1:]:
-            union = union.unionByName(r)
-        return union.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.min("first_batch").alias("first_batch"))
+    def joined(self, lines: DataFrame, batch: int) -> DataFrame:
+        """The keys of a batch with their counts; seen: a run has the key."""
+        own = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        hit = F.lit(False)
+        for i, run in enumerate(self._runs()):
+            own = own.join(run.select(*KEY, F.lit(True).alias(f"_in{i}")), KEY, "left")
+            hit = hit | F.col(f"_in{i}").isNotNull()
+        return own.select(*KEY, "n_docs", "max_doc", F.lit(batch).alias("first_batch"), hit.alias("seen"))
 
     def add(self, lines: DataFrame, batch: int) -> None:
         """Merge-anti-join a batch (doc_id, h1, h2 from documents that no other batch has) with the runs, and add it."""
-        own = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        if old := self._runs():
-            known = old[0].select("h1", "h2", "first_batch")
-            for r in old[1:]:
-                known = known.unionByName(r.select("h1", "h2", "first_batch"))
-            held = self.store.cut(own, f"batch{batch}")
-            fresh = held.join(known, ["h1", "h2"], "left_anti").withColumn("first_batch", F.lit(batch))
-            again = held.join(known.groupBy("h1", "h2").agg(F.min("first_batch").alias("first_batch")), ["h1", "h2"])
-            own = fresh.unionByName(again)
-        else:
-            own = own.withColumn("first_batch", F.lit(batch))
-        self.levels[0].append(self._write(own))
-        self.store.drop(f"batch{batch}")
+        had_runs = bool(self._runs())
+        rows = self._write(self.joined(lines, batch))
+        self.levels[0].append(rows.filter("not seen"))
+        if had_runs:
+            self.updates.append(rows.filter("seen").select(*KEY, "n_docs", "max_doc"))
         self.compact()
 
-    def compact(self, whole: bool = False) -> None:
-        """Merge each level that has fanout runs into the next; whole: all runs into one."""
+    def compact(self) -> None:
+        """Merge each level that has fanout runs into one of the next; runs share no key, so their rows stay as they are."""
         level = 0
         while level < len(self.levels):
-            runs = self.levels[level]
-            if len(runs) >= self.fanout:
+            if len(runs := self.levels[level]) >= self.fanout:
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[level + 1].append(self._write(self._merge([df for _, df in runs])))
+                self.levels[level + 1].append(self._write(_union(runs)).filter("not seen"))
                 self.levels[level] = []
-                self.store.drop(*[n for n, _ in runs])
             level += 1
-        if whole and len(self._runs()) > 1:
-            runs = [r for x in self.levels for r in x]
-            self.levels = [*[[] for _ in self.levels], [self._write(self._merge([df for _, df in runs]))]]
-            self.store.drop(*[n for n, _ in runs])
 
     def lookup(self) -> DataFrame:
-        """h1, h2, n_docs, max_doc, first_batch over all runs."""
+        """h1, h2, n_docs, max_doc, first_batch over all runs and updates."""
         runs = self._runs()
-        return runs[0] if len(runs) == 1 else self._merge(runs)
+        if not self.updates:
+            return _union(runs).drop("seen")
+        more = _union(self.updates).groupBy(*KEY).agg(F.sum("n_docs").alias("_n"), F.max("max_doc").alias("_max"))
+        n, top = F.col("n_docs") + F.coalesce("_n", F.lit(0)), F.greatest("max_doc", "_max")
+        return _union([run.join(more, KEY, "left").select(*KEY, n.alias("n_docs"), top.alias("max_doc"), "first_batch") for run in runs])
+
+    def close(self) -> None:
+        self.store.forget()
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -125,12 +134,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = line_keys(base.filter("doc_id is not null"), min_chars)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     lines = store.cut(found.withColumn("batch", batch), "lines", "batch")
+    own = lines.select("doc_id", "h1", "h2", "batch")
+    if base.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count():
+        own = own.distinct()  # rows that repeat an id
     runs = LineRuns(spark, fanout)
     for b in range(batches):
-        runs.add(lines.filter(F.col("batch") == b).select("doc_id", "h1", "h2").distinct(), b)
-    runs.compact(whole=True)
+        runs.add(own.filter(F.col("batch") == b).select("doc_id", "h1", "h2"), b)
     drop = runs.lookup().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "n_docs", "max_doc")
     drop = store.cut(drop, "drop")
+    runs.close()
     total = lines.count()
     hit = skew_join(lines.select("doc_id", "h1", "h2"), drop, ["h1", "h2"], "n_docs", total, F.xxhash64("doc_id"))
     hit = hit.filter("max_doc is not null and doc_id != max_doc").groupBy("doc_id").agg(F.collect_set("h1").alias("gone"))

@@ -89,6 +89,26 @@ def test_runs_are_levelled(spark):
         runs.add(spark.createDataFrame([(b, 1, 1), (b, b + 10, 0)], line_dedup.LINES), b)
     assert [len(x) for x in runs.levels] == [1, 1]
     assert {(r["h1"], r["n_docs"], r["max_doc"], r["first_batch"]) for r in runs.lookup().collect()} == {(1, 3, 2, 0), (10, 1, 0, 0), (11, 1, 1, 1), (12, 1, 2, 2)}
+    # The anti join decides what a run holds: a key is in one run only, and what repeats is an update of it.
+    held = [r["h1"] for run in runs._runs() for r in run.collect()]
+    assert sorted(held) == [1, 10, 11, 12]
+    assert sorted((r["h1"], r["n_docs"]) for u in runs.updates for r in u.collect()) == [(1, 1), (1, 1)]
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
+
+
+def test_a_lookup_moves_no_run(spark):
+    runs = line_dedup.LineRuns(spark, fanout=4)
+    for b in range(3):
+        runs.add(spark.createDataFrame([(b, 1, 1), (b, b + 10, 0)], line_dedup.LINES), b)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = runs.joined(spark.createDataFrame([(9, 1, 1)], line_dedup.LINES), 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1  # the batch's own sums
+    runs.close()
 
 
 def test_ngram_classes(docs, rows, odd, empty):
