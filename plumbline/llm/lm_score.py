@@ -3,8 +3,8 @@
 Each byte of a text is predicted bit by bit, given the 1 to 5 bytes before it. For each of these context lengths it is
 known exactly how often each bit followed (context, bits of the byte so far) in the training texts. The logits of these
 predictors are mixed with weights that two gates choose: which lengths have been seen, and the bits so far. The weights
-are learned online, by gradient steps in a seeded order; each training byte is predicted from tables without itself. An
-adaptive table then maps (bits so far, mixed logit) to the share of ones seen there, and is averaged with the mixture.
+are learned online, by gradient steps in a seeded order in each range of runs, and averaged over the ranges after each
+epoch; each training byte is predicted from tables without itself. An adaptive table then maps (bits so far, mixed logit) to the share of ones seen there, and is averaged with the mixture.
 
 All counts cover all training texts. Tasks sort the 6-byte runs of their texts, so that work goes by distinct run, and
 what is shuffled are packed arrays of runs (or word hashes) with counts, by range. A range of runs has all runs with the
@@ -27,13 +27,13 @@ from .common import Store, text_or_empty
 from .learn import fold, sigmoid
 from .textnum import U, chunks, mix, runs, words
 
-ORDER, SLOT_BITS = 5, 21
+ORDER = 5
 #: Bytes of text in a block, that a training task sorts at once, and whose distinct runs it sends together.
 BLOCK, PIECE, TAKE = 16 << 20, 2 << 20, 32 << 20
 #: Bits of the ranges of runs and words, at least; more for more than 1 GB of text.
 PART_BITS = 6
 _END = 0xFF  # no byte of UTF-8: a text's end is predicted like a byte
-_BATCH, _RATE, _EPOCHS, _BUCKETS = 2048, 0.2, 2, 32
+_BATCH, _RATE, _EPOCHS, _BUCKETS = 1024, 1.0, 2, 32
 END_WORD = U(0x5851F42D4C957F2D)
 BLOB = "part int, block long, a binary, b binary"
 
@@ -58,20 +58,6 @@ def byte_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return key, at
 
 
-def _slots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slot by order, run and bit; bits so far by run and bit; the bit) of runs."""
-    nxt = (key & U(0xFF)).astype(np.int64)
-    j = np.arange(8)
-    node = ((nxt[:, None] | 256) >> (8 - j)[None, :]).astype(np.int64)
-    bit = (nxt[:, None] >> (7 - j)[None, :]) & 1
-    out = np.empty((ORDER, len(key), 8), np.int64)
-    for o in range(1, ORDER + 1):
-        ctx = (key >> U(8 * (ORDER + 1 - o))) * U(8) + U(o)
-        h = mix(ctx * U(0x9E3779B97F4A7C15))
-        out[o - 1] = ((h[:, None] + node.astype(np.uint64) * U(0xD1342543DE82EF95)) * U(0x2545F4914F6CDD1D) >> U(64 - SLOT_BITS)).astype(np.int64)
-    return out, node, bit
-
-
 class Counts:
     """How often each bit followed each context, exactly, from a range's distinct runs with counts (sorted) and, for
     contexts of one byte, the counts of all (byte before, next byte)."""
@@ -112,31 +98,22 @@ def _nodes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Gate weights and the adaptive table; counts are a range's own, or hashed tables (order, slot, bit) if given."""
+    """Gate weights and the adaptive table, beside a range's own counts."""
 
-    def __init__(self, tables: np.ndarray | None = None) -> None:
-        self.tables = tables
-        self.counts: Counts | None = None
+    def __init__(self, counts: Counts | None = None) -> None:
+        self.counts = counts
         self.seen_w = np.full((ORDER + 1, 6, ORDER + 1), 0.15, np.float32)
         self.node_w = np.full((256, ORDER + 1), 0.15, np.float32)
         self.seen_w[..., -1] = self.node_w[..., -1] = 0
         self.refine = np.tile(sigmoid((np.arange(_BUCKETS + 1) - _BUCKETS / 2) / 2), (256, 1)).astype(np.float32)
 
-    def _counts_of(self, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.counts is not None:
-            yield from self.counts.of(key)
-            return
-        slot = _slots(key)[0]
-        for o in range(ORDER):
-            yield self.tables[o, :, 0][slot[o]].astype(np.float32), self.tables[o, :, 1][slot[o]].astype(np.float32)
-
     def inputs(self, key: np.ndarray, without: bool) -> tuple[np.ndarray, ...]:
         """(logits of the predictors and a 1, longest seen order, its count's class, bits so far, the bit), by bit."""
         node, bit = _nodes(key)
         x = np.ones((len(key), 8, ORDER + 1), np.float32)
         longest = np.zeros((len(key), 8), np.int64)
         size = np.zeros((len(key), 8), np.int64)
-        for o, (n0, n1) in enumerate(self._counts_of(key)):
+        for o, (n0, n1) in enumerate(self.counts.of(key)):
             if without:
                 n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
             x[:, :, o] = np.log((n1 + 0.3) / (n0 + 0.3))
@@ -263,18 +240,35 @@ def _whole(rows: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(a, np.uint64) for _, a, _ in rows]]), np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b, np.int64) for _, _, b in rows]])
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The ranges of batches that are sorted by range, each whole."""
-    part, held = None, []
-    for batch in batches:
-        for p, block, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if p != part and held:
-                yield _whole(held)
-                held = []
-            part = p
-            held.append((block, a, b))
-    if held:
-        yield _whole(held)
+def _range_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _whole(list(zip(*(t.column(x).to_pylist() for x in ("block", "a", "b")), strict=True)))
+
+
+def _learning(model: Model, pairs: np.ndarray, rate: float):
+    """The weights that a range learns, times its distinct runs, by place."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        m = copy.deepcopy(model)
+        k, c = _range_of(t)
+        m.counts = Counts(k, c, pairs)
+        m.learn(k, c.astype(float), rate)
+        w = np.concatenate((m.seen_w.ravel(), m.node_w.ravel())).astype(float)
+        return pa.table({"i": np.arange(len(w), dtype=np.int32), "w": w * len(k), "n": np.full(len(w), float(len(k)))})
+
+    return run
+
+
+def _refining(model: Model, pairs: np.ndarray):
+    """A range's part of the adaptive table, by place."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        m = copy.copy(model)
+        k, c = _range_of(t)
+        m.counts = Counts(k, c, pairs)
+        out = m.refine_counts(k, c.astype(float))
+        return pa.table({"i": np.arange(len(out), dtype=np.int32), "ones": out[:, 0], "n": out[:, 1]})
+
+    return run
 
 
 def train(texts: DataFrame, store: Store, bits: int = PART_BITS) -> tuple[Model, DataFrame, np.ndarray]:
@@ -285,33 +279,18 @@ def train(texts: DataFrame, store: Store, bits: int = PART_BITS) -> tuple[Model,
     pairs = np.zeros(1 << 16, np.int64)
     pairs[got.column("at").to_numpy()] = got.column("n").to_numpy()
     model = Model()
-    # Ranges one after another, so that a task holds one of them.
-    spread = grams.repartition(12, "part").sortWithinPartitions("part", "block")
+    # Each range learns by itself from where the last epoch ended, so the result does not depend on how ranges are dealt.
     for epoch in range(_EPOCHS):
-
-        def learn(batches: Iterator[pa.RecordBatch], m: Model = model, rate: float = _RATE / (1 + epoch)) -> Iterator[pa.RecordBatch]:
-            n = 0
-            for k, c in _ranges(batches):
-                m.counts = Counts(k, c, pairs)
-                m.learn(k, c.astype(float), rate)
-                n += len(k)
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([m.seen_w.tobytes()], pa.binary()), pa.array([m.node_w.tobytes()], pa.binary())], ["n", "a", "b"])
-
-        got = [r for r in spread.mapInArrow(learn, "n long, a binary, b binary").collect() if r["n"]]
-        if got:
-            share = np.array([r["n"] for r in got], float)
-            share /= share.sum()
-            model.seen_w = sum(s * np.frombuffer(r["a"], np.float32) for s, r in zip(share, got, strict=True)).reshape(model.seen_w.shape).astype(np.float32)
-            model.node_w = sum(s * np.frombuffer(r["b"], np.float32) for s, r in zip(share, got, strict=True)).reshape(model.node_w.shape).astype(np.float32)
-
-    def refine(batches: Iterator[pa.RecordBatch], m: Model = model) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((256 * (_BUCKETS + 1), 2))
-        for k, c in _ranges(batches):
-            m.counts = Counts(k, c, pairs)
-            out += m.refine_counts(k, c.astype(float))
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["a"])
-
-    total = sum((np.frombuffer(r["a"]).reshape(-1, 2) for r in spread.mapInArrow(refine, "a binary").collect()), np.zeros((256 * (_BUCKETS + 1), 2)))
+        learn = _learning(model, pairs, _RATE / (1 + epoch))
+        got = grams.groupBy("part").applyInArrow(learn, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
+        if got.num_rows:
+            w = np.zeros(got.num_rows)
+            w[got.column("i").to_numpy()] = got.column("w").to_numpy()
+            model = copy.deepcopy(model)
+            model.seen_w, model.node_w = (x.reshape(y.shape).astype(np.float32) for x, y in zip(np.split(w, [model.seen_w.size]), (model.seen_w, model.node_w), strict=True))
+    got = grams.groupBy("part").applyInArrow(_refining(model, pairs), "i int, ones double, n double").groupBy("i").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).toArrow()
+    total = np.zeros((256 * (_BUCKETS + 1), 2))
+    total[got.column("i").to_numpy()] = np.stack([got.column("ones").to_numpy(), got.column("n").to_numpy()], 1)
     start = model.refine.ravel()
     model.refine = ((total[:, 0] + 20 * start) / (total[:, 1] + 20)).reshape(model.refine.shape).astype(np.float32)
     return model, grams, pairs
@@ -340,7 +319,7 @@ def _run_bits(model: Model, pairs: np.ndarray):
 
     def run(key: tuple, asked: pa.Table, grams: pa.Table) -> pa.Table:
         m = copy.copy(model)
-        m.counts = Counts(*_whole(list(zip(*(grams.column(x).to_pylist() for x in ("block", "a", "b")), strict=True))), pairs)
+        m.counts = Counts(*_range_of(grams), pairs)
         a = [np.frombuffer(x, np.uint64) for x in asked.column("a").to_pylist()]
         k = _distinct(np.concatenate([np.zeros(0, np.uint64), *a]))[0]
         bits = m.bits(k).astype(np.float32)
@@ -452,5 +431,3 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table([texts.column("doc_id"), texts.column("held_out"), cols[0], cols[1].cast(pa.int64()), pa.array(np.full(len(texts), n_train)), cols[2], cols[3], cols[4]], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     return placed.groupBy("block").cogroup(counts.filter("block >= 0").unionByName(told).groupBy("block")).applyInArrow(score, RESULT)
-
-

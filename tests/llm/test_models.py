@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, lm_score, quality, toxicity
 
@@ -54,6 +55,43 @@ def test_toxicity_held_out(labelled):
     assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got)
 
 
+def test_risk_and_its_gradient():
+    """Against the formula, text by text, and against differences; also where the negative part is held at zero."""
+    rng = np.random.default_rng(3)
+
+    def texts(n):
+        sets = [rng.choice(6, rng.integers(0, 5), replace=False) for _ in range(n)]
+        return sets, (np.repeat(np.arange(n), [len(x) for x in sets]), np.concatenate([np.zeros(0, int), *sets]).astype(int), rng.integers(1, 4, n).astype(float))
+
+    (p_sets, p), (u_sets, u) = texts(7), texts(12)
+    held = 0
+    for prior, scale in ((0.1, 1), (0.9, 3), (0.5, 0.1)):
+        w = rng.normal(0, scale, 7)
+
+        def risk(w, prior=prior):
+            def mean(sets, x, sign):
+                return sum(n * math.log(1 + math.exp(sign * (sum(w[f] for f in s) + w[6]))) for s, n in zip(sets, x[2], strict=True)) / sum(x[2])
+
+            rest = mean(u_sets, u, 1) - prior * mean(p_sets, p, 1)
+            return prior * mean(p_sets, p, -1) + max(0, rest) + 0.01 / 2 * sum(w[:6] ** 2), rest < 0
+
+        value, gradient = toxicity.nn_risk(w, p, u, prior, 0.01)
+        assert abs(value - risk(w)[0]) < 1e-9
+        held += risk(w)[1]
+        for j in range(7):
+            step = np.eye(7)[j] * 1e-6
+            assert abs(gradient[j] - (risk(w + step)[0] - risk(w - step)[0]) / 2e-6) < 1e-6
+    assert held
+
+
+def test_toxicity_in_shards(spark, labelled, monkeypatch):
+    docs, labels, truth = labelled
+    monkeypatch.setattr(toxicity, "SHARD", 200)
+    odd = labels.withColumn("toxic", F.when(F.col("toxic") == 0, F.lit(None)).otherwise(F.col("toxic"))).unionByName(labels.withColumn("toxic", F.lit(5))).unionByName(labels)
+    got = toxicity.score_toxicity(docs, odd).collect()
+    assert np.mean([r["predicted"] == truth[r["doc_id"]][1] for r in got if r["held_out"]]) > 0.95
+
+
 def test_toxic_text_with_many_copies(spark):
     """A toxic text that fills a third of the rows is found, and so are other texts with only its words."""
     rng = random.Random(7)
@@ -99,21 +137,61 @@ def test_base_score_and_model(docs, rows, odd, empty):
     assert lm_score.score_texts(odd).count() == 4 and lm_score.score_texts(empty).count() == 0
 
 
+def some_runs(rng):
+    key = np.unique((rng.integers(0, 6, (5000, 6)).astype(np.uint64) * np.uint64(31) << np.arange(0, 48, 8, dtype=np.uint64)).sum(1, dtype=np.uint64))
+    count = rng.integers(1, 9, len(key))
+    pairs = np.zeros(1 << 16, np.int64)
+    np.add.at(pairs, lm_score.Counts.packed(key, 1).astype(np.int64), count)
+    return key, count, pairs
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    model = lm_score.Model(rng.integers(0, 50, (lm_score.ORDER, 1 << lm_score.SLOT_BITS, 2)).astype(np.uint16))
+    key, count, pairs = some_runs(rng)
+    model = lm_score.Model(lm_score.Counts(key, count, pairs))
     model.seen_w += rng.normal(0, 0.1, model.seen_w.shape).astype(np.float32)
-    context = np.uint64(0x61626364E200)
-    assert abs((2 ** model.bits(context + np.arange(256, dtype=np.uint64))).sum() - 1) < 1e-6
+    model.learn(key, count.astype(float), 0.5)
+    for context in (*(key[:3] & ~np.uint64(255)), np.uint64(0x61626364E200)):
+        assert abs((2 ** model.bits(context + np.arange(256, dtype=np.uint64))).sum() - 1) < 1e-6
+
+
+def test_a_bits_probability_by_the_formula():
+    """Logits of counts, mixed by the weights of both gates, beside the adaptive table; one bit at a time."""
+    rng = np.random.default_rng(2)
+    key, count, pairs = some_runs(rng)
+    model = lm_score.Model(lm_score.Counts(key, count, pairs))
+    model.learn(key, count.astype(float), 0.5)
+    for k in key[:: len(key) // 6]:
+        nxt, total = int(k) & 255, 0.0
+        for j in range(8):
+            so_far = (nxt | 256) >> (8 - j)
+            x, longest, size = [], 0, 0
+            for o in range(1, 6):
+                ctx = key >> np.uint64(8 * (6 - o)) == k >> np.uint64(8 * (6 - o))
+                here = ctx & ((key & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - j) == so_far)
+                one = (key >> np.uint64(7 - j)) & np.uint64(1) == 1
+                n0, n1 = int(count[here & ~one].sum()), int(count[here & one].sum())
+                x.append(math.log((n1 + 0.3) / (n0 + 0.3)))
+                if n0 + n1:
+                    longest, size = o, min(int(math.log2(n0 + n1)), 5)
+            z = float(np.dot([*x, 1.0], model.seen_w[longest, size] + model.node_w[so_far]))
+            at = min(max(z * 2 + 16, 0), 32 - 1e-3)
+            refined = model.refine[so_far, int(at)] * (1 - at % 1) + model.refine[so_far, int(at) + 1] * (at % 1)
+            p = min(max((1 / (1 + math.exp(-z)) + refined) / 2, 1e-5), 1 - 1e-5)
+            total += math.log2(p if nxt >> (7 - j) & 1 else 1 - p)
+        assert abs(model.bits(np.array([k]))[0] - total) < 1e-3
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "TAKE", 1 << 14)
+    monkeypatch.setattr(lm_score, "BLOCK", 1 << 15)
+    one, two = ({r["doc_id"]: r["score"] for r in lm_score.score_texts(d).collect()} for d in (docs.coalesce(1), docs.repartition(5, "text")))
+    assert one.keys() == two.keys() and max(abs(one[i] - two[i]) for i in one) < 1e-3
 
 
 def test_counts_are_exact():
     """Each order's counts are those of the context itself, however many distinct contexts there are."""
-    rng = np.random.default_rng(1)
-    key = np.unique((rng.integers(0, 6, (5000, 6)).astype(np.uint64) * np.uint64(31) << np.arange(0, 48, 8, dtype=np.uint64)).sum(1, dtype=np.uint64))
-    count = rng.integers(1, 9, len(key))
-    pairs = np.zeros(1 << 16, np.int64)
-    np.add.at(pairs, lm_score.Counts.packed(key, 1).astype(np.int64), count)
+    key, count, pairs = some_runs(np.random.default_rng(1))
     got = list(lm_score.Counts(key, count, pairs).of(key))
     nxt = (key & np.uint64(255)).astype(int)
     for i in range(0, len(key), 400):
