@@ -4,8 +4,12 @@ Confirmed toxic rows are the positives; the training folds as a whole are the un
 With class prior p, the risk is p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)): the toxic share of the
 unlabelled part is taken out of its negative risk, and that difference may not fall below zero.
 
-Inputs are only which words and runs of four and five bytes a text has. Those that positives have more often than all
-training texts are found over the whole table; linear classifiers on them are fitted in numpy on bounded samples.
+Inputs are only which words and runs of four and five bytes a text has. All that positives have clearly more often than
+training texts do are found over the whole table. The training texts are dealt into shards; in each a task fits a linear
+classifier in numpy, on the shard's texts and the confirmed ones, and the weights are averaged over the shards.
+
+The class prior is the share of toxic rows among the labelled ones: labels are used for that share and for which rows are
+confirmed, and no row counts as a negative example.
 """
 
 from __future__ import annotations
@@ -17,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import Store, text_or_empty
 from .learn import adam, byte_grams, first_by_hash, fold, sigmoid
-from .textnum import U, chunks, runs, words
+from .textnum import U, buffers, chunks, runs, words
 
-#: Slots of hashed features; features kept at most; rows of a sample at most (of positives, and of unlabelled texts).
-BITS, FEATURES, SAMPLE = 22, 1024, 20_000
+#: Slots of hashed features; confirmed rows fitted on at most; training texts of a shard, about.
+BITS, SAMPLE, SHARD = 22, 20_000, 20_000
+#: Scores before the bias are counted to a 1024th, between -_WIDE and _WIDE.
+_FINE, _WIDE = 1024, 40
 #: Bits of the bitmap of confirmed ids.
 ID_BITS = 23
 #: A feature's count among positives must be this unlikely by chance, and this share of the texts with it toxic.
@@ -79,118 +85,157 @@ def _may_have(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _hits(slot: np.ndarray):
-    """Of texts (id, bytes), the chosen features that they have, as packed int16."""
+    """Of texts (id, bytes, held_out), the chosen features that they have, as packed int32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 found = [(d[c >= 0], c[c >= 0]) for d, f in _features(data, offsets) for c in [slot[f]]]
                 doc, f = (np.concatenate(x) for x in zip(*found, strict=True))
-                packed = np.sort((doc.astype(np.int64) << 16) | f)
+                packed = np.sort((doc.astype(np.int64) << 32) | f)
                 packed = packed[runs(packed)[:-1]]
-                ends = np.searchsorted(packed >> 16, np.arange(hi - lo + 1))
-                f = (packed & 0xFFFF).astype(np.int16)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([f[ends[i] : ends[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["doc_id", "hits"])
+                ends = (np.searchsorted(packed >> 32, np.arange(hi - lo + 1)) * 4).astype(np.int32)
+                hits = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer((packed & 0xFFFFFFFF).astype(np.int32).tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), hits], ["doc_id", "held_out", "hits"])
 
     return run
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, n_features: int, l2: float = 2e-4, steps: int = 400, members: int = 3) -> np.ndarray:
-    """Mean weights (and bias, last) of linear classifiers under the non-negative risk with logistic loss."""
+#: Texts with their weights: (text of each hit, feature of each hit, weight of each text).
+Texts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _texts(hits: pa.Array, weight: np.ndarray) -> Texts:
+    data, offsets = buffers(hits)
+    f = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.int32).astype(np.int64)
+    return np.repeat(np.arange(len(weight)), np.diff(offsets) // 4), f, weight.astype(float)
+
+
+def logits(x: Texts, w: np.ndarray) -> np.ndarray:
+    return np.bincount(x[0], w[x[1]], len(x[2])) + w[-1]
+
 
-    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int16), *rows]).astype(np.int64), len(rows)
+def nn_risk(w: np.ndarray, positive: Texts, unlabelled: Texts, prior: float, l2: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk with logistic loss, and its gradient; w: weights and, last, the bias, which is not decayed."""
+    zp, zu = logits(positive, w), logits(unlabelled, w)
+    ap, au = positive[2] / positive[2].sum(), unlabelled[2] / unlabelled[2].sum()
+    negative = (np.logaddexp(0, zu) * au).sum() - prior * (np.logaddexp(0, zp) * ap).sum()
+    gp, gu = prior * (sigmoid(zp) - 1) * ap, np.zeros(len(zu))
+    if negative > 0:
+        gp, gu = gp - prior * sigmoid(zp) * ap, sigmoid(zu) * au
+    # else the difference is held at zero, and only the positive risk has a gradient
+    n = len(w) - 1
+    g = np.bincount(positive[1], gp[positive[0]], n) + np.bincount(unlabelled[1], gu[unlabelled[0]], n) + l2 * w[:-1]
+    risk = prior * (np.logaddexp(0, -zp) * ap).sum() + max(0.0, negative) + l2 / 2 * (w[:-1] ** 2).sum()
+    return risk, np.append(g, gp.sum() + gu.sum())
 
-    out = []
+
+def fit_nnpu(positive: Texts, unlabelled: Texts, prior: float, n_features: int, l2: float = 2e-4, steps: int = 400, members: int = 3) -> np.ndarray:
+    """Mean weights (and bias, last) of linear classifiers of least non-negative risk: one on all texts, others on draws from them."""
+
+    def drawn(x: Texts, rng: np.random.Generator) -> Texts:
+        return x[0], x[1], rng.multinomial(int(x[2].sum()), x[2] / x[2].sum()).astype(float)
+
+    start, out = np.zeros(n_features + 1), []
+    start[-1] = np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))
     for member in range(members):
         rng = np.random.default_rng(member)
-        (pr, pc, n_p), (ur, uc, n_u) = (matrix([x[i] for i in rng.integers(0, len(x), len(x))] if member else x) for x in (positive, unlabelled))
-
-        def grad(w: np.ndarray, pr=pr, pc=pc, n_p=n_p, ur=ur, uc=uc, n_u=n_u) -> np.ndarray:
-            zp = np.bincount(pr, w[pc], n_p) + w[-1]
-            zu = np.bincount(ur, w[uc], n_u) + w[-1]
-            sp, su = sigmoid(zp), sigmoid(zu)
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gp, gu = prior * (sp - 1) / n_p, np.zeros(n_u)
-            if negative > 0:
-                gp, gu = gp - prior * sp / n_p, su / n_u
-            # else the difference is held at zero, and only the positive risk has a gradient
-            g = np.zeros(n_features + 1)
-            g[:-1] = np.bincount(pc, gp[pr], n_features) + np.bincount(uc, gu[ur], n_features)
-            g[-1] = gp.sum() + gu.sum()
-            g[:-1] += l2 * w[:-1]
-            return g
-
-        start = np.zeros(n_features + 1)
-        start[-1] = np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))
-        out.append(adam(grad, start, steps))
-    w = np.mean(out, axis=0)
-    z = np.array([w[r].sum() for r in unlabelled])
+        p, u = (drawn(x, rng) if member else x for x in (positive, unlabelled))
+        out.append(adam(lambda w, p=p, u=u: nn_risk(w, p, u, prior, l2)[1], start, steps))
+    return np.mean(out, axis=0)
+
+
+def _bias(z: np.ndarray, n: np.ndarray, prior: float) -> float:
+    """The bias at which the mean score of n texts with z before it is the prior."""
     lo, hi = -60.0, 60.0
-    for _ in range(60):  # the bias at which the mean score of the unlabelled texts is the prior
+    for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if sigmoid(z + mid).mean() > prior else (mid, hi)
-    w[-1] = lo
-    return w
+        lo, hi = (lo, mid) if (sigmoid(z + mid) * n).sum() > prior * n.sum() else (mid, hi)
+    return lo
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, features: int = FEATURES, sample: int = SAMPLE) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
-    Rows whose crc32(id as text) modulo 4 is 2 are held out: neither their labels nor their texts are learned from.
-    Positives and unlabelled texts are fitted on at most `sample` each, first in a seeded order of ids; feature counts
-    are over all training texts and all confirmed ones, copies included. Null labels are no labels; several labels of an id count as toxic if one does. Null
-    text is empty and gets the score of a text without features. Without positives every score is the prior, 0. Rows
-    without an id are scored and belong to no training fold. Extra columns are not read.
+    Rows whose crc32(id as text) modulo 4 is 2 are held out: neither their labels nor their texts are learned from. Of
+    the confirmed rows at most `sample` are fitted on, first in a seeded order of ids; all else is over all training
+    texts, copies included. Labels other than 0 and 1 are no labels; several labels of an id count as toxic if one does.
+    Null text is empty and gets the score of a text without features. Without positives every score is the prior, 0.
+    Rows without an id are scored and belong to no training fold. Extra columns are not read.
     """
-    spark = docs.sparkSession
+    store = Store(docs.sparkSession, "toxicity")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("bytes"))
     base = base.withColumn("held_out", fold("doc_id", TRAIN_FOLDS) == HELD_OUT)
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null")
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     known = known.filter(fold("doc_id", TRAIN_FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y"))
     n_known, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = min(0.9, n_toxic / n_known) if n_known else 0.0
-    learn = base.filter("doc_id is not null and not held_out")
-    toxic_ids = [r[0] for r in first_by_hash(known.filter("y = 1").select("doc_id"), "doc_id", sample, "p").collect()]
-    other_ids = [r[0] for r in first_by_hash(learn.select("doc_id"), "doc_id", sample, "u").collect()]
-    slot, w = np.full(1 << BITS, -1, np.int16), np.zeros(1)
-    if toxic_ids:
-        # The unlabelled sample is of all training texts, confirmed ones included, as the risk estimator needs it; at most 2 * sample rows.
-        chosen = spark.createDataFrame([(i, 1) for i in toxic_ids] + [(i, 0) for i in other_ids], "id long, y int")
-        rows = learn.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-        # Every confirmed training row counts, copies too, as they do in the counts of all training texts and in the prior.
-        toxic = known.filter("y = 1").select("doc_id")
-        confirmed = _may_have(learn, toxic).join(toxic, "doc_id", "left_semi")
-        in_p = _doc_counts(confirmed.select("bytes")).withColumnRenamed("n", "a")
-        in_u = _doc_counts(learn.select("bytes"))
-        n_p, n_u = confirmed.count(), learn.count()
-        if n_p:
-            # Expected count of a feature among the positives if it told nothing; g: how unlikely the count is by chance
-            # (natural log of a Poisson tail); toxic share of the texts with it by Bayes' rule.
-            expected = F.col("n") * F.lit(n_p / n_u)
-            g = F.col("a") * F.log(F.col("a") / expected) - (F.col("a") - expected)
-            toxic_share = F.lit(prior) * F.col("a") / expected
-            top = in_p.filter("a >= 3").join(in_u, "f").withColumn("g", g).filter((F.col("a") > expected) & (F.col("g") >= LEAST_G) & (toxic_share >= LEAST_SHARE))
-            top = top.orderBy(F.desc("g"), "f").limit(features).collect()
-            slot[[r["f"] for r in top]] = np.arange(len(top), dtype=np.int16)
-            held = rows.dropDuplicates(["doc_id"]).select("doc_id", "bytes").mapInArrow(_hits(slot), "doc_id long, hits binary").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("y", "hits").toArrow()
-            y, hits = np.array(held.column("y").to_pylist()), [np.frombuffer(x, np.int16) for x in held.column("hits").to_pylist()]
-            pos, unl = [h for h, k in zip(hits, y, strict=True) if k], [h for h, k in zip(hits, y, strict=True) if not k]
-            if pos and unl:
-                w = fit_nnpu(pos, unl, prior, len(top))
-            else:
-                slot[:] = -1
-    bare = sigmoid(np.array([w[-1]]))[0] if len(w) > 1 else 0.0
+    toxic = known.filter("y = 1").select("doc_id")
+    slot = _chosen_features(base.filter("doc_id is not null and not held_out"), toxic, prior) if n_toxic else np.zeros(0, np.int32)
+    if not len(slot):
+        return base.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0.0 >= threshold).cast("int").alias("predicted"))
+    hits = store.cut(base.select("doc_id", "bytes", "held_out").mapInArrow(_hits(slot), "doc_id long, held_out boolean, hits binary"), "hits")
+    w = _fit(hits, first_by_hash(toxic, "doc_id", sample, "p"), prior, int(slot.max()) + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _hits(slot)
         for batch in batches:
-            held = batch.column(2)
-            lo = 0
-            for part in find(iter([batch])):
-                hits = [np.frombuffer(x, np.int16) for x in part.column(1).to_pylist()]
-                s = np.array([sigmoid(w[h].sum() + w[-1]) if len(w) > 1 else bare for h in hits], float)
-                yield pa.RecordBatch.from_arrays([part.column(0), held.slice(lo, len(hits)), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-                lo += len(hits)
-
-    return base.select("doc_id", "bytes", "held_out").mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+            s = sigmoid(logits(_texts(batch.column(2), np.ones(batch.num_rows)), w))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    return hits.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def _chosen_features(learn: DataFrame, toxic: DataFrame, prior: float) -> np.ndarray:
+    """Of each slot, which feature it is (-1: none), or nothing: all that confirmed texts have clearly more often.
+
+    Every confirmed training row counts, copies too, as they do in the counts of all training texts and in the prior.
+    """
+    confirmed = _may_have(learn, toxic).join(toxic, "doc_id", "left_semi")
+    in_p = _doc_counts(confirmed.select("bytes")).withColumnRenamed("n", "a")
+    in_u = _doc_counts(learn.select("bytes"))
+    n_p, n_u = confirmed.count(), learn.count()
+    if not n_p:
+        return np.zeros(0, np.int32)
+    # Expected count of a feature among the positives if it told nothing; g: how unlikely the count is by chance
+    # (natural log of a Poisson tail); toxic share of the texts with it by Bayes' rule.
+    expected = F.col("n") * F.lit(n_p / n_u)
+    g = F.col("a") * F.log(F.col("a") / expected) - (F.col("a") - expected)
+    share = F.lit(prior) * F.col("a") / expected
+    top = in_p.filter("a >= 3").join(in_u, "f").filter((F.col("a") > expected) & (g >= LEAST_G) & (share >= LEAST_SHARE)).select("f").toArrow().column("f").to_numpy()
+    slot = np.full(1 << BITS, -1, np.int32)
+    slot[np.sort(top)] = np.arange(len(top), dtype=np.int32)
+    return slot if len(top) else np.zeros(0, np.int32)
+
+
+def _fit(hits: DataFrame, toxic: DataFrame, prior: float, n_features: int) -> np.ndarray:
+    """Mean weights over the shards, and the bias at which the mean score of all training texts is the prior."""
+    learn = hits.filter("doc_id is not null and not held_out")
+    held = learn.join(toxic, "doc_id", "left_semi").groupBy("hits").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    positive = _texts(held.column("hits").combine_chunks(), held.column("n").to_numpy())
+    shards = max(1, round(learn.count() / SHARD))
+    # Equal texts of a shard count as one with a weight: copies of one text take no room.
+    dealt = learn.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "hits").agg(F.count(F.lit(1)).alias("n"))
+
+    def member(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("hits").combine_chunks()
+        unlabelled = _texts(t.column("hits").chunk(0), t.column("n").to_numpy())
+        w = fit_nnpu(positive, unlabelled, prior, n_features)
+        return pa.table({"j": np.arange(len(w), dtype=np.int32), "w": w, "n": np.full(len(w), unlabelled[2].sum())})
+
+    dealt = dealt.repartition(shards, "shard")  # so many tasks: a shard's rows are few, its fit is not
+    got = dealt.groupBy("shard").applyInArrow(member, "j int, w double, n double").groupBy("j").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).toArrow()
+    w = np.zeros(n_features + 1)
+    w[got.column("j").to_numpy()] = got.column("w").to_numpy()
+    w[-1] = 0
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * _WIDE * _FINE + 1, np.int64)
+        for batch in batches:
+            z = np.clip(logits(_texts(batch.column(0), np.ones(batch.num_rows)), w), -_WIDE, _WIDE)
+            total += np.bincount(np.rint((z + _WIDE) * _FINE).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    got = learn.select("hits").mapInArrow(counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    w[-1] = _bias(got.column("at").to_numpy() / _FINE - _WIDE, got.column("n").to_numpy(), prior)
+    return w
