@@ -3,13 +3,12 @@
 Dealing suffixes to tasks. Each window of `length` bytes has one anchor: of the k-byte runs that start in its first
 length - k + 1 positions, the one with the least hash, the first of these. Equal windows have equal anchors at equal
 places, so dealing anchors by hash brings equal windows together, and a window whose anchor occurs once is unique.
-Which anchors occur in
-several texts, or several times, is found as in the n-gram join: from packed hashes by range.
+Which anchors occur in several texts, or several times, is found as in the n-gram join: from packed hashes by range.
 The windows of one anchor are neighbours: an occurrence is a context, one stretch of text that holds them all. Equal
 contexts collapse to their first occurrence before anything is sorted.
 
-Sorting. Where an anchor has several contexts, a task sorts the suffixes at all their positions: letters are runs of
-eight bytes, triples of letters at the positions of two of three residues (the difference cover) are sorted and named,
+Sorting. An anchor with several contexts, up to SPLIT, is sorted whole in a task; the contexts of all others are sorted
+together over all tasks (suffix_sort). A task sorts the suffixes at all positions: letters are runs of eight bytes, triples of letters at the positions of two of three residues (the difference cover) are sorted and named,
 names are sorted in the same way one level up until a name stands for `length` bytes or more, and the remaining
 positions are merged in by their first letter and the rank that follows. Suffixes next to each other are then compared
 over `length` bytes, and of equal ones only the first in the corpus stays.
@@ -28,12 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import Store, skew_join, text_or_empty
 from .ngram_join import PACKED, _pack, _shared, _unpack, signatures
-from .textnum import U, _power, chunks, mix, runs
+from .suffix_sort import later_windows
+from .textnum import U, _power, buffers, chunks, mix, runs
 
 LENGTH, K = 100, 32
-#: Contexts for a sorting task, about, and those that it sorts at once (which should fit a core's cache); contexts of one
-#: anchor are never split.
-TASK_CONTEXTS, BATCH = 8192, 512
+#: Contexts for a sorting task, about, and those that it sorts at once (which should fit a core's cache); contexts of an
+#: anchor that are sorted in one task, at most.
+TASK_CONTEXTS, BATCH, SPLIT = 8192, 512, 4096
 #: Bytes of text for each range of anchors, and that are looked at together.
 PART_BYTES, CHUNK = 4 << 20, 1 << 18
 _LETTER = 8
@@ -222,6 +222,8 @@ def _contexts(length: int, k: int):
 
 
 def _sort_task(length: int):
+    """Sorts all contexts of a task's anchors."""
+
     def run(key: tuple, t: pa.Table) -> pa.Table:
         h = np.array(t.column("h").to_pylist(), np.int64)
         by = np.argsort(h, kind="stable")
@@ -244,27 +246,45 @@ def _sort_task(length: int):
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, text, found in zip(*[batch.column(j).to_pylist() for j in range(3)], strict=True):
-                kept, removed, spans = text, 0, 0
-                if found:
-                    change = np.zeros(len(text) + 1, np.int64)
-                    for x in found:
-                        n = x["shape"] >> 8
-                        starts = x["start"] + (np.arange(n) if x["gone"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(x["gone"], np.uint8))[:n]))
-                        np.add.at(change, starts, 1)
-                        np.add.at(change, starts + length, -1)
-                    out = np.cumsum(change[:-1]) > 0
-                    removed = int(out.sum())
-                    spans = int((out & ~np.concatenate(([False], out[:-1]))).sum())
-                    kept = np.frombuffer(text, np.uint8)[~out].tobytes()
-                rows.append((i, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            for lo, hi, data, offsets in chunks(batch.column(1), CHUNK << 2):
+                out = _removed(batch.column(2).slice(lo, hi - lo), offsets, length)
+                edges = np.concatenate(([0], np.cumsum(out)))
+                removed = edges[offsets[1:]] - edges[offsets[:-1]]
+                opens = out & ~np.concatenate(([False], out[:-1]))
+                first = offsets[:-1][offsets[:-1] < len(out)]
+                opens[first] = out[first]  # a run at a text's start is its own
+                edges = np.concatenate(([0], np.cumsum(opens)))
+                spans = edges[offsets[1:]] - edges[offsets[:-1]]
+                left = data[~out].tobytes()
+                ends = (offsets - np.concatenate(([0], np.cumsum(removed)))).tolist()
+                kept = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                sha = [hashlib.sha256(x).hexdigest() for x in kept]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), pa.array(sha), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
+def _removed(found: pa.Array, offsets: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes of some texts go. found: for each text, the occurrences with windows that go (gone: bits, null for all)."""
+    flat, doc = found.flatten(), np.repeat(np.arange(len(found)), found.value_lengths().fill_null(0).to_numpy())
+    start, shape = (flat.field(c).to_numpy() for c in ("start", "shape"))
+    begin = offsets[doc] + start
+    some = flat.field("gone").is_valid().to_numpy(zero_copy_only=False)
+    change = np.zeros(int(offsets[-1]) + 1, np.int64)
+    whole = begin[~some]
+    np.add.at(change, whole, 1)
+    np.add.at(change, whole + (shape[~some] >> 8) + length - 1, -1)
+    if some.any():
+        bits, at = buffers(flat.field("gone").filter(pa.array(some)))
+        window = np.flatnonzero(np.unpackbits(bits[at[0] : at[-1]])).astype(np.int64)
+        ends = (at[1:] - at[0]) * 8
+        which = np.searchsorted(ends, window, "right")
+        place = begin[some][which] + window - (at[:-1] - at[0])[which] * 8
+        np.add.at(change, place, 1)
+        np.add.at(change, place + length, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
 
@@ -287,19 +307,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     occ = store.cut(occ, "occurrences")
     classes = occ.groupBy("h", "c1", "c2").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("ctx").alias("ctx"))
     classes = store.cut(classes, "classes")
-    several = classes.groupBy("h").count().filter("count > 1").select("h")
-    mixed = store.cut(classes.join(several, "h", "left_semi").select("h", "c1", "c2", "first", "ctx"), "mixed")
-    tasks = max(1, -(-mixed.count() // TASK_CONTEXTS))
-    sorted_ = mixed.groupBy(F.pmod(F.xxhash64("h"), F.lit(tasks)).alias("task")).applyInArrow(_sort_task(length), "h long, c1 long, c2 long, gone binary")
-    sorted_ = store.cut(sorted_.filter("length(gone) > 0"), "sorted")
-    store.drop("mixed")
+    several = classes.groupBy("h").count().filter("count > 1").select("h", (F.col("count") > SPLIT).alias("wide"))
+    mixed = store.cut(classes.join(several, "h").select("h", "c1", "c2", "first", "ctx", "wide"), "mixed")
+    narrow = mixed.filter("not wide").drop("wide")
+    tasks = max(1, -(-narrow.count() // TASK_CONTEXTS))
+    sorted_ = narrow.groupBy(F.pmod(F.xxhash64("h"), F.lit(tasks)).alias("task")).applyInArrow(_sort_task(length), "h long, c1 long, c2 long, gone binary").filter("length(gone) > 0")
+    if mixed.filter("wide").limit(1).count():
+        sorted_ = sorted_.unionByName(later_windows(mixed.filter("wide").drop("wide"), store, length))
+    sorted_ = store.cut(sorted_, "sorted")
+    store.drop("mixed", "sort-gone")
     final = classes.drop("ctx").join(sorted_, ["h", "c1", "c2"], "left").filter("n > 1 or gone is not null")
     final = store.cut(final.select("h", "c1", "c2", "first", "n", "gone"), "final")
     total = occ.count()
     marked = skew_join(occ.select("h", "c1", "c2", "doc_id", "tag", "start", "shape"), final, ["h", "c1", "c2"], "n", total, F.xxhash64("doc_id", "start"))
     is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag")) & (F.col("start") == F.col("first.start"))
     marked = marked.filter("first is not null").filter(~is_first | F.col("gone").isNotNull())
-    marked = marked.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "shape", F.when(is_first, F.col("gone")).alias("gone"))).alias("found"))
+    marked = marked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "shape", F.when(is_first, F.col("gone")).alias("gone"))).alias("found"))
     marked = store.cut(marked, "marked")
     store.drop("occurrences", "classes", "final", "sorted", "lists")
     out = base.join(marked.withColumnsRenamed({"doc_id": "_doc", "tag": "_tag"}), (F.col("doc_id") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "bytes", "found")

@@ -1,12 +1,13 @@
 """The deduplicating operators against brute force on a small table."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, line_dedup, ngram_join, suffix_dedup
+from plumbline.llm import exact_dedup, line_dedup, ngram_join, suffix_dedup, suffix_sort
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -147,9 +148,10 @@ def test_heavy_tokens_travel_once(spark, monkeypatch):
     assert len(set(got.values())) == 21 and got[0] == got[2] == 0
 
 
-def test_suffixes(docs, rows, odd, empty):
+def without_repeats(texts):
+    """(bytes, removed, spans, digest, what stays) of each text, in order of ids, by brute force."""
     seen, want = set(), {}
-    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
+    for i, t in sorted(texts):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for s in range(len(b) - 99):
@@ -159,7 +161,33 @@ def test_suffixes(docs, rows, odd, empty):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
         want[i] = (len(b), len(b) - len(kept), spans, sha(kept), kept)
+    return want
+
+
+def test_suffixes(docs, rows, odd, empty):
+    want = without_repeats([(i, t) for i, t, *_ in rows])
     got = suffix_dedup.suffix_dedup(docs).collect()
     assert {r["doc_id"]: (*tuple(r)[1:5], bytes(r["kept"])) for r in got} == want
     assert {(r["doc_id"], r["n_removed"]) for r in suffix_dedup.suffix_dedup(odd).collect()} == {(None, 0), (1, 0), (2, 0)}
     assert suffix_dedup.suffix_dedup(empty).count() == 0
+
+
+def test_suffixes_sorted_over_tasks(docs, rows, monkeypatch):
+    """All contexts through the distributed sort, in small blocks and ranges."""
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 1)
+    monkeypatch.setattr(suffix_sort, "BLOCK", 20_000)
+    monkeypatch.setattr(suffix_sort, "RANGE_ROWS", 2_000)
+    got = suffix_dedup.suffix_dedup(docs).collect()
+    assert {r["doc_id"]: (*tuple(r)[1:5], bytes(r["kept"])) for r in got} == without_repeats([(i, t) for i, t, *_ in rows])
+
+
+def test_an_anchor_in_thousands_of_contexts(spark, monkeypatch):
+    """A passage in 5,000 texts with other text around it, which some of them share."""
+    rng = random.Random(8)
+    passage = "the same passage of a licence or footer, in every text of them"
+    rows = [(i, f"{rng.choice('abcdefgh') * rng.randrange(30, 60)}{rng.randrange(40)} {passage} {rng.randrange(60)}{rng.choice('xyzuv') * rng.randrange(20, 70)}") for i in range(5000)]
+    called = []
+    monkeypatch.setattr(suffix_dedup, "later_windows", lambda *a: called.append(1) or suffix_sort.later_windows(*a))
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = without_repeats(rows)
+    assert {r["doc_id"]: (*tuple(r)[1:5], bytes(r["kept"])) for r in got} == want and called and sum(w[1] for w in want.values()) > 1000
