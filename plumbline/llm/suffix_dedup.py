@@ -63,7 +63,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple
     edge = runs(at)
     first, windows = start[edge[:-1]], np.diff(edge)
     doc = doc[first]
-    return doc, h[at[edge[:-1]]], first - offsets[doc], windows, at[edge[:-1]] - first
+    # Least hashes are small numbers; mixed anew they fall evenly into ranges.
+    return doc, mix(h[at[edge[:-1]]] + U(1)), first - offsets[doc], windows, at[edge[:-1]] - first
 
 
 def _name(*keys: np.ndarray) -> np.ndarray:
