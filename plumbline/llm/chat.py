@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -58,24 +59,23 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def mask(offsets: Sequence[tuple[int, int]], spans: Sequence[tuple[int, int]]) -> tuple[list[int], list[int], list[int]]:
+def mask(offsets: Sequence[tuple[int, int]], spans: Sequence[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, first character, character after the last) of what tokens cover of the spans; both lie in order.
 
     A byte-level vocabulary may split a character over tokens, whose offsets then overlap: the first of them has the
     character, the others are in the mask with nothing.
     """
-    start, end = np.array([o[0] for o in offsets], np.int64), np.array([o[1] for o in offsets], np.int64)
-    token, lo, hi = [], [], []
-    for a, b in spans:
-        done = a
-        first, last = np.searchsorted(end, a, "right"), np.searchsorted(start, b, "left")
-        for t in range(first, last):
-            s = max(int(start[t]), done)
-            done = max(s, min(int(end[t]), b))
-            token.append(int(t))
-            lo.append(s)
-            hi.append(done)
-    return token, lo, hi
+    start, end = np.array(offsets, np.int64).reshape(-1, 2).T
+    a, b = np.array(spans, np.int64).reshape(-1, 2).T
+    first, last = np.searchsorted(end, a, "right"), np.searchsorted(start, b, "left")
+    count = np.maximum(last - first, 0)
+    span = np.repeat(np.arange(len(a)), count)
+    token = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    hi = np.maximum(np.minimum(end[token], b[span]), a[span])
+    done = np.maximum.accumulate(hi) if len(hi) else hi  # spans lie apart and in order, so a maximum never reaches a later span
+    before = np.concatenate(([0], done[:-1])) if len(hi) else hi
+    lo = np.maximum(np.maximum(start[token], a[span]), before)
+    return token, lo, np.maximum(done, lo)
 
 
 def read_back(formatted: str, lo: Sequence[int], hi: Sequence[int]) -> str:
@@ -83,10 +83,10 @@ def read_back(formatted: str, lo: Sequence[int], hi: Sequence[int]) -> str:
     return unescape("".join(formatted[a:b] for a, b in zip(lo, hi, strict=True)))
 
 
-def _encoder(path: str) -> Callable:
+def _encoder(vocabulary: str) -> Callable:
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_str(vocabulary)
     tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False)
 
@@ -97,8 +97,10 @@ def format_chats(turns: DataFrame, tokenizer_path: str, learn_from: str = "assis
     Turns come in order of turn, then role, then text; null turns first, null role and text as empty. Rows without a
     conv_id are one conversation with a null id. Turns of role `learn_from` are under the mask. Conversations are
     streamed from partitions sorted by (conv_id, turn): a task holds one conversation at a time, which has to be encoded
-    as a whole. Repeated rows are turns of their own; an empty table gives an empty result.
+    as a whole. Repeated rows are turns of their own; an empty table gives an empty result. The vocabulary file is read
+    by the driver and goes to the executors with the function.
     """
+    vocabulary = Path(tokenizer_path).read_text(encoding="utf-8")
     base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text_or_empty("role").alias("role"), text_or_empty("text").alias("text"))
     dealt = base.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
@@ -108,7 +110,7 @@ def format_chats(turns: DataFrame, tokenizer_path: str, learn_from: str = "assis
         return conv, len(said), text, found.ids, *mask(found.offsets, [(a, b) for i, a, b in spans if said[i][0] == learn_from])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_path)
+        encode = _encoder(vocabulary)
         types = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 4]
         names = ["conv_id", "n_turns", "formatted", "token_ids", "mask_token", "mask_start", "mask_end"]
 

@@ -35,6 +35,34 @@ def test_chats_read_back(spark):
     assert chat.format_chats(df.limit(0), TOKENIZER).count() == 0
 
 
+def mask_by_steps(offsets, spans):
+    out = []
+    for a, b in spans:
+        done = a
+        for t, (s, e) in enumerate(offsets):
+            if e > a and s < b:
+                lo = max(s, done)
+                done = max(lo, min(e, b))
+                out.append((t, lo, done))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 4)), max_size=30), st.lists(st.tuples(st.integers(0, 6), st.integers(0, 9)), max_size=6))
+def test_mask_against_steps(tokens, gaps):
+    """Tokens that follow one another, or overlap in a character; spans that lie apart."""
+    offsets, at, start = [], 0, 0
+    for back, size in tokens:
+        start = max(start, at - (back == 3))
+        at = max(at, start + size)
+        offsets.append((start, at))
+    spans, at = [], 0
+    for gap, size in gaps:
+        spans.append((at + gap, at + gap + size))
+        at += gap + size + 1
+    assert list(zip(*(x.tolist() for x in chat.mask(offsets, spans)), strict=True)) == mask_by_steps(offsets, spans)
+
+
 def fill(weights, caps, budget):
     """Water-filling by steps: each round shares what is left by weight among those with room."""
     out, left, open_ = [0] * len(caps), budget, [i for i, w in enumerate(weights) if w]
