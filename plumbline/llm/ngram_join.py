@@ -2,8 +2,8 @@
 
 Two sets with Jaccard similarity of at least t share a token among the first n - ceil(t * n) + 1 tokens of each,
 whatever order all tokens are put in. The first order is by document frequency, rarest first: documents that share such
-a prefix token meet in that token's bucket. Before a pair's whole sets are intersected, its prefixes under two more
-orders (by two hashes) must meet too.
+a prefix token meet in that token's bucket. A pair's prefixes under two more orders (by two hashes) must meet too: they
+travel alone, at a fifth of the sets' size, and only pairs that pass all filters are joined with whole sets.
 
 Frequencies come from one pass: each task packs the tokens of a run of documents by token range, one task a range finds
 which tokens occur in several documents, and only those return to their run of documents. A token that many documents
@@ -188,44 +188,45 @@ def _prefixes(percent: int, bits: int):
     return run
 
 
-def _whole_sets(k: int):
+def _whole_sets(k: int, percent: int):
+    """Sets (tokens) and their prefixes under the two hash orders (pre: sorted keys of 32 bits, one order after the other)."""
+
+    def prefixes(tokens: np.ndarray) -> bytes:
+        if not len(tokens):
+            return b""
+        p = int(_ends(np.int64(len(tokens)), percent))
+        keys = (tokens * o for o in _ORDERS)
+        return b"".join(np.sort((key if p >= len(key) else np.partition(key, p - 1)[:p]) >> U(32)).astype(np.uint32).tobytes() for key in keys)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 bound, tokens, _ = sets(data, offsets, k)
                 one, two = signatures(bound, tokens)
-                blobs = [tokens[bound[i] : bound[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(blobs, pa.binary())], ["doc_id", "sig1", "sig2", "tokens"])
+                each = [tokens[bound[i] : bound[i + 1]] for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([prefixes(x) for x in each], pa.binary())], ["doc_id", "sig1", "sig2", "tokens", "pre"])
 
     return run
 
 
-def _verify(percent: int):
-    def prefix(tokens: np.ndarray, by: np.uint64) -> np.ndarray:
-        p = int(_ends(np.int64(len(tokens)), percent))
-        key = tokens * by
-        return key if p >= len(key) else np.partition(key, p - 1)[:p]
+WHOLE = "doc_id long, sig1 long, sig2 long, tokens binary, pre binary"
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two arrays share that have each number once (or a few more, where 32 bits of two numbers agree)."""
+    z = np.sort(np.concatenate((x, y)))
+    return int((z[1:] == z[:-1]).sum())
 
-    def meet(x: np.ndarray, y: np.ndarray) -> int:
-        z = np.sort(np.concatenate((x, y)))
-        return int((z[1:] == z[:-1]).sum())
+
+def _pairs(keep: Callable[[np.ndarray, np.ndarray], bool], kind: type):
+    """Of pairs (a, b, xa, xb: arrays of both as bytes), those that keep accepts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None,)
         for batch in batches:
             one, two = [], []
-            for a, b, ta, tb in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                if last[0] != a:  # pairs come sorted by a
-                    x = np.frombuffer(ta, np.uint64)
-                    last = (a, x, [prefix(x, o) for o in _ORDERS])
-                x, y = last[1], np.frombuffer(tb, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                if not all(meet(p, prefix(y, o)) for p, o in zip(last[2], _ORDERS, strict=True)):
-                    continue
-                both = meet(x, y)
-                if 100 * both >= percent * (len(x) + len(y) - both):
+            for a, b, xa, xb in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if keep(np.frombuffer(xa, kind), np.frombuffer(xb, kind)):
                     one.append(a)
                     two.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
@@ -233,6 +234,19 @@ def _verify(percent: int):
     return run
 
 
+def _meet(x: np.ndarray, y: np.ndarray) -> bool:
+    """Both orders' prefixes have a key in common; keys of 32 bits that agree by chance only let a pair pass."""
+    return all(_common(x[i], y[i]) for x, y in [(np.split(x, 2), np.split(y, 2))] for i in (0, 1))
+
+
+def _linked(percent: int):
+    def keep(x: np.ndarray, y: np.ndarray) -> bool:
+        both = _common(x, y)
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return keep
+
+
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, copies (rows with the same set, itself included).
 
@@ -257,8 +271,8 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = bucket.groupBy("token").agg(F.min(F.struct("pos", "rep", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     bucket = store.cut(bucket.join(several.select("token", "lead"), "token"), "bucket")
     members = bucket.select("rep", "sig1", "sig2").distinct()
-    whole = known.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_whole_sets(k), "doc_id long, sig1 long, sig2 long, tokens binary")
-    whole = whole.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "sig1", "sig2"], "left_semi").select("doc_id", "tokens")
+    whole = known.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_whole_sets(k, percent), WHOLE)
+    whole = whole.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "sig1", "sig2"], "left_semi").select("doc_id", "tokens", "pre")
     whole = store.cut(whole, "sets")
 
     def fits(x: str, y: str, at_x: str, at_y: str):
@@ -267,8 +281,11 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * after >= percent * (F.col(x) + F.col(y)))
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
-        full = pairs.join(whole.withColumnsRenamed({"doc_id": "b", "tokens": "tb"}), "b").join(whole.withColumnsRenamed({"doc_id": "a", "tokens": "ta"}), "a")
-        return store.cut(full.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), name)
+        for column, keep, kind in (("pre", _meet, np.uint32), ("tokens", _linked(percent), np.uint64)):
+            side = {x: whole.select(F.col("doc_id").alias(x), F.col(column).alias(f"x{x}")) for x in "ab"}
+            pairs = pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "xa", "xb").mapInArrow(_pairs(keep, kind), "a long, b long")
+            pairs = store.cut(pairs, f"{name}-{column}")
+        return pairs
 
     stars = bucket.filter("rep != lead.rep").filter(fits("n", "lead.n", "pos", "lead.pos"))
     tried = store.cut(stars.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct(), "tried1")
@@ -299,7 +316,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     out = skew_join(rows, named, ["sig1", "sig2"], "copies", int(total), F.xxhash64("doc_id"))
     out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("copies"))
-    lost = base.filter("doc_id is null").mapInArrow(_whole_sets(k), "doc_id long, sig1 long, sig2 long, tokens binary")
+    lost = base.filter("doc_id is null").mapInArrow(_whole_sets(k, percent), WHOLE)
     lost = lost.select("doc_id", (F.length("tokens") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(1).cast("long").alias("copies"))
     return out.unionByName(lost)
 
