@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontaminate, exact_dedup, mixing, ngram_join, quality
-from plumbline.llm.common import Store, table
+from plumbline.llm.common import Store, scratch, table
 from plumbline.llm.queries import DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS, with_domain
 
 
@@ -48,6 +48,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = store.cut(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = store.cut(stage(spark, docs, sf_dir), name)
+        if before:
+            store.drop(before)
+        before = name
     return docs
