@@ -23,7 +23,7 @@ from .textnum import U, chunks, runs, words
 
 #: Hash bits of the content view; labelled rows fitted on at most; rounds; pseudo-labels that a view gets in a round.
 BITS, SAMPLE, ROUNDS, GIVEN = 10, 8_000, 2, 1_000
-_LANGS, _SOURCES = 8, 32
+_PAGE, _LANGS, _SOURCES = 12, 8, 32  # columns of the metadata view
 _KIND = np.zeros(256, np.int64)  # 0: other, 1: lower, 2: upper, 3: digit, 4: punctuation, 5: space
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
 _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 4
@@ -51,12 +51,12 @@ def metadata(data: np.ndarray, offsets: np.ndarray, langs: list, sources: list)
     edges = np.concatenate(([0], np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])) + 1))[1:] if len(w.hash) else np.zeros(0, np.int64)
     again = np.bincount(w.doc[edges], minlength=n) if len(edges) else np.zeros(n)
     safe = np.maximum(count, 1)
-    out = np.zeros((n, 12 + _LANGS + _SOURCES), np.float32)
+    out = np.zeros((n, _PAGE + _LANGS + _SOURCES), np.float32)
     out[:, :6] = kinds
-    out[:, 6:12] = np.stack([np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(count) / 8, distinct / safe, again / safe, (size - kinds[:, 5] * size) / safe / 10], 1)
+    out[:, 6:_PAGE] = np.stack([np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(count) / 8, distinct / safe, again / safe, (size - kinds[:, 5] * size) / safe / 10], 1)
     for i, (a, b) in enumerate(zip(langs, sources, strict=True)):
-        out[i, 12 + zlib.crc32((a or "").encode()) % _LANGS] = 1
-        out[i, 12 + _LANGS + zlib.crc32((b or "").encode()) % _SOURCES] = 0.3
+        out[i, _PAGE + zlib.crc32((a or "").encode()) % _LANGS] = 1
+        out[i, _PAGE + _LANGS + zlib.crc32((b or "").encode()) % _SOURCES] = 0.3
     return out
 
 
@@ -127,7 +127,8 @@ def _rows_of(base: DataFrame, chosen: list[int]) -> tuple[np.ndarray, np.ndarray
     t = rows.select("doc_id", "r.*").mapInArrow(_sampled, "doc_id long, a binary, b binary").toArrow()
     doc = t.column("doc_id").to_numpy()
     order = np.argsort(doc, kind="stable")
-    a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.float16).reshape(len(doc), -1)[order].astype(np.float32) for c in "ab")
+    wide = {"a": 1 << BITS, "b": _PAGE + _LANGS + _SOURCES}
+    a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.float16).reshape(len(doc), n)[order].astype(np.float32) for c, n in wide.items())
     return doc[order], a, b
 
 

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from plumbline.llm import decontaminate, exact_dedup, ngram_join, quality
+from plumbline.llm.common import shared_dir
 from plumbline.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +30,22 @@ def test_stages(spark, tmp_path):
     assert len(ids[4][1]) > 0 and "epoch" in seen[4][2].columns
 
 
+def test_stages_without_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert got.count() == 0 and (name == "mixing" or got.columns == docs.columns)
+
+
+def test_run_leaves_only_its_result(spark):
+    got = corpus_pipeline.run(spark, SF)
+    assert got.count() > 0
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    left = [x.getPath() for x in files.listStatus(root) if x.getPath().getName().startswith("pipeline-")]
+    assert ["mixing"] in [[x.getPath().getName() for x in files.listStatus(p)] for p in left]
+
+
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
