@@ -17,7 +17,7 @@ from .common import SPACE, Store, keep_rows, skew_join, text_or_empty
 
 #: Keys that a bucket may hold; lanes in which copies collapse; bits of a key; slots at the start, at most (more keys than
 #: CAPACITY * 2 ** SLOT_BITS raise the capacity).
-CAPACITY, LANES, KEY_BITS, SLOT_BITS = 65_536, 4, 63, 20
+CAPACITY, LANES, KEY_BITS, SLOT_BITS = 16_384, 4, 63, 20
 #: Doubled slots that are broadcast at most (each a few numbers); more are joined by Spark's own choice.
 BROADCAST_SLOTS = 10_000
 _WRAP = 18446744073709551616  # 2 ** 64
