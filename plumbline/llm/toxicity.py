@@ -222,7 +222,7 @@ def _fit(hits: DataFrame, toxic: DataFrame, prior: float, n_features: int) -> np
         w = fit_nnpu(positive, unlabelled, prior, n_features)
         return pa.table({"j": np.arange(len(w), dtype=np.int32), "w": w, "n": np.full(len(w), unlabelled[2].sum())})
 
-    dealt = dealt.repartition(shards, "shard")  # so many tasks: a shard's rows are few, its fit is not
+    dealt = dealt.repartitionByRange(shards, "shard")  # a task each: a shard's rows are few, its fit is not
     got = dealt.groupBy("shard").applyInArrow(member, "j int, w double, n double").groupBy("j").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).toArrow()
     w = np.zeros(n_features + 1)
     w[got.column("j").to_numpy()] = got.column("w").to_numpy()
