@@ -16,11 +16,13 @@ SPACE = r"[\x20\x09-\x0D]"
 #: A key is hot if it holds more than one in so many of all rows; so there are at most so many hot keys.
 HOT_PARTS = 1000
 
+#: The least number of rows for which it pays to cut the rows of one key into pieces.
+PIECE = 65_536
+
 #: Spark's setting by which a query's shuffle files are deleted when it ends.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -144,6 +146,23 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: st
     return out.select(*left.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(f"_cold_{c}")).alias(c) for c in rest])
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, keys: DataFrame, total: int, spread: Column) -> DataFrame:
+    """Inner join to a right side with unique keys whose rows may be too large to broadcast.
+
+    keys holds the keys of the left rows, of which there are `total`. A key with more than a HOT_PARTS-th of them (and
+    more than PIECE) is cut into pieces of that size by `spread`, and its right row goes to every piece. Only those keys,
+    at most HOT_PARTS, are broadcast, with their numbers of pieces. Where no key can have so many, nothing is cut.
+    """
+    piece = max(PIECE, total // HOT_PARTS)
+    if total <= piece:
+        return left.join(right, key)
+    cut = keys.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > F.lit(piece))
+    cut = F.broadcast(cut.select(key, F.ceil(F.col("_rows") / F.lit(piece)).cast("int").alias("_cuts")))
+    dealt = left.join(cut, key, "left").withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_cuts")), F.lit(0)).cast("int")).drop("_cuts")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))
+    return dealt.join(right.join(cut, key, "left").withColumn("_salt", salts).drop("_cuts"), [key, "_salt"]).drop("_salt")
+
+
 def drop_rows(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows of docs whose id is none of `ids` (one column, any name); rows without an id stay. No column of docs can clash."""
     return docs.join(_aside(docs, ids), F.col(id_col).cast("long") == F.col(_free(docs)), "left_anti")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, keep_rows, skew_join, text_or_empty
+from .common import Store, keep_rows, salted_join, skew_join, text_or_empty
 from .graph import components
 from .textnum import CHUNK, U, chunks, mix, runs, shingles, words
 
@@ -266,10 +266,16 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = store.cut(shared.groupBy("block").applyInArrow(_prefixes(percent, bits), FOUND), "found")
     rows = found.filter("token is null").drop("token", "pos")
     classes = store.cut(rows.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
+    prefix_rows = found.filter("token is not null").count()
+
+    def with_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
+        """Members with what is known of their buckets; buckets that hold a thousandth of all members are broadcast."""
+        return skew_join(members, buckets, ["token"], "m", prefix_rows, F.xxhash64("rep")).filter("m is not null").drop("m")
+
     bucket = found.filter("token is not null").select("token", "pos", "sig1", "sig2").distinct().join(classes.filter("n > 0").select("sig1", "sig2", "rep", "n"), ["sig1", "sig2"])
     # A bucket's lead has the fewest tokens before this one: it is nearest to what a group of near copies has in common.
     several = bucket.groupBy("token").agg(F.min(F.struct("pos", "rep", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    bucket = store.cut(bucket.join(several.select("token", "lead"), "token"), "bucket")
+    bucket = store.cut(with_bucket(bucket, store.cut(several, "several")), "bucket")
     members = bucket.select("rep", "sig1", "sig2").distinct()
     whole = known.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_whole_sets(k, percent), WHOLE)
     whole = whole.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "sig1", "sig2"], "left_semi").select("doc_id", "tokens", "pre")
@@ -281,10 +287,13 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * after >= percent * (F.col(x) + F.col(y)))
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs (a stored table) that link. A text that leads a large group is in a pair with each of it."""
         for column, keep, kind in (("pre", _meet, np.uint32), ("tokens", _linked(percent), np.uint64)):
             side = {x: whole.select(F.col("doc_id").alias(x), F.col(column).alias(f"x{x}")) for x in "ab"}
-            pairs = pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "xa", "xb").mapInArrow(_pairs(keep, kind), "a long, b long")
-            pairs = store.cut(pairs, f"{name}-{column}")
+            total, both = pairs.count(), pairs
+            for x, other in (("b", "a"), ("a", "b")):
+                both = salted_join(both, side[x], x, pairs.select(x), total, F.xxhash64(other))
+            pairs = store.cut(both.select("a", "b", "xa", "xb").mapInArrow(_pairs(keep, kind), "a long, b long"), f"{name}-{column}")
         return pairs
 
     stars = bucket.filter("rep != lead.rep").filter(fits("n", "lead.n", "pos", "lead.pos"))
@@ -296,8 +305,8 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         """Bucket rows with their components, of the buckets that still hold several."""
         now = bucket.select("token", "pos", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         now = store.cut(now, f"labelled{k}")
-        ends = now.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max(F.struct("comp", (-F.col("pos")).alias("near"), "rep", "n")).alias("_last")).filter("_lo != _hi")
-        return now.join(ends.select("token", "_last"), "token")
+        ends = now.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max(F.struct("comp", (-F.col("pos")).alias("near"), "rep", "n")).alias("_last"), F.count(F.lit(1)).alias("m"))
+        return with_bucket(now, store.cut(ends.filter("_lo != _hi").select("token", "_last", "m"), f"ends{k}"))
 
     left = apart(2).filter("comp != _last.comp").withColumn("_at", -F.col("_last.near")).filter(fits("n", "_last.n", "pos", "_at"))
     left = left.select(F.least("rep", "_last.rep").alias("a"), F.greatest("rep", "_last.rep").alias("b")).distinct()

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, line_dedup, ngram_join, suffix_dedup, suffix_sort
+from plumbline.llm import common, exact_dedup, line_dedup, ngram_join, suffix_dedup, suffix_sort
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -148,6 +148,35 @@ def test_heavy_tokens_travel_once(spark, monkeypatch):
     assert len(set(got.values())) == 21 and got[0] == got[2] == 0
 
 
+def test_hot_keys_are_cut(spark, monkeypatch):
+    """Rows of a key that holds most of them are dealt over pieces; each meets its right row once."""
+    left = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(600)] + [(None, -1), (-5, -2)], "k long, v long")
+    right = spark.createDataFrame([(i, f"r{i}") for i in range(600)] + [(None, "n")], "k long, t string")
+    want = sorted((7, i, "r7") if i % 3 else (i, i, f"r{i}") for i in range(600))
+    for piece, parts in ((65_536, 1000), (10, 1000), (10, 4), (1, 1000)):
+        monkeypatch.setattr(common, "PIECE", piece)
+        monkeypatch.setattr(common, "HOT_PARTS", parts)
+        got = common.salted_join(left, right, "k", left.select("k"), 602, F.xxhash64("v"))
+        assert got.columns == ["k", "v", "t"] and sorted(map(tuple, got.collect())) == want
+
+
+def test_pairs_with_one_lead(spark, monkeypatch):
+    """Near copies of one text, with its pairs in pieces and its tokens' buckets both broadcast and shuffled."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(300):
+        words = list(base) if i % 3 else [f"x{rng.randrange(10**6)}" for _ in range(80)]
+        if i % 3:
+            words[rng.randrange(80)] = f"y{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(common, "PIECE", 2)
+    monkeypatch.setattr(common, "HOT_PARTS", 4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_classes(df).collect()}
+    assert got == {i: 1 if i % 3 else i for i, _ in rows}
+
+
 def without_repeats(texts):
     """(bytes, removed, spans, digest, what stays) of each text, in order of ids, by brute force."""
     seen, want = set(), {}
