@@ -476,6 +476,34 @@ def quote_card_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, reports.quote_card("", ranked))
 
 
+@query
+def maintenance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proposal over the ledger of all items, a line for each label and year of installation."""
+    years = ["label", "installed_year", "service_life", "recommend_year", "remaining"]
+    rows = ledger_rows(spark, sf_dir).groupBy(*years).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumns({"name": F.concat("label", F.lit(" x"), F.col("n").cast("string")), "spec": F.lit(None).cast("string")})
+    return report(spark, reports.maintenance(rows, plans(spark), R.PLANS[1][0], 1992, R.CURRENT_YEAR, "company"))
+
+
+@query
+def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics, the metrics of each category, and the first ten missing and extra items."""
+    df = items(spark, sf_dir).withColumn("category", F.col("unit"))
+    found, truth, order = df.filter("status = 'O'"), df.filter("status = 'F'"), [F.col("project_id"), *ties()]
+    missing, extra = (accuracy.only_in(x, y, order, unicode=False) for x, y in ((truth, found), (found, truth)))
+    return report(spark, reports.accuracy(accuracy_metrics(spark, sf_dir), accuracy_by_category(spark, sf_dir), missing, extra))
+
+
+@query
+def session_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified items dumped as a session and loaded again, with what is null in them."""
+    path = shared_path(spark, "session")
+    rows = classified(spark, sf_dir)
+    sinks.dump_session(rows, path)
+    back = files.load_session(spark, path, rows.schema)
+    return back.groupBy("category", "source", "unit").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("project_id").alias("projects"), F.sum("quantity").alias("quantity"), F.min("confidence").alias("least"), F.max("spec").alias("spec"))
+
+
 @query
 def dictionary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate(entries(spark, R.FAULTY))

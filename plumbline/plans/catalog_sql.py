@@ -341,3 +341,31 @@ t AS (SELECT ['# 透明見積カード', '', '## ご相談内容', '', '> （未
   || (SELECT list('| ' || job || ' | ¥' || format('{{:,}}', price_min) || '〜¥' || format('{{:,}}', price_max) || ' | ' || CASE WHEN warranty_months > 0 THEN warranty_months || 'ヶ月' ELSE '—' END || ' |' ORDER BY n DESC, job) FROM n)
   || ['', '## 作業記録', '', {_CARD_TAIL}] AS lines)
 SELECT generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS text FROM t"""
+
+_OFFERS = ", ".join(f"'| {name} | {months}ヶ月 | ¥{fee:,} |'" for name, months, fee in R.PLANS)
+_NAME, _MONTHS, _FEE = R.PLANS[1]
+ORACLES["maintenance_report"] = f"""WITH {_LEDGER},
+y AS (SELECT label, installed_year, service_life, recommend_year, remaining, label || ' x' || count(*) AS name FROM ledger GROUP BY 1, 2, 3, 4, 5),
+t AS (SELECT ['# 予防保全プラン提案 company', '', '布設 1992年 / 評価 {R.CURRENT_YEAR}年', '', '## 配管台帳', '', '| 名称 | 管種 | 仕様 | 布設年 | 耐用年数 | 更新推奨年 | 残存年 |', '| --- | --- | --- | --- | --- | --- | --- |']
+  || (SELECT list('| ' || name || ' | ' || label || ' | — | ' || installed_year || ' | ' || service_life || ' | ' || recommend_year || ' | ' || remaining || CASE WHEN remaining <= 0 THEN '★' ELSE '' END || ' |' ORDER BY remaining, name) FROM y)
+  || ['', (SELECT '更新時期: ' || name || CASE WHEN remaining <= 0 THEN ' （経過済み）' ELSE ' あと' || remaining || '年' END FROM y ORDER BY remaining, name LIMIT 1)]
+  || ['', '## おすすめプラン: {_NAME}', '', '- {_MONTHS}ヶ月ごと', '- 月額 ¥{_FEE:,}（年額 ¥{_FEE * 12:,}）', '', '## 全プラン', '', '| プラン | 点検周期 | 月額 |', '| --- | --- | --- |', {_OFFERS}] AS lines)
+SELECT generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS text FROM t"""
+
+
+def _first_ten(label: str, side: str, other: str) -> str:
+    rows = f"(SELECT * FROM {side} WHERE key NOT IN (SELECT key FROM {other}) ORDER BY key LIMIT 10)"
+    return f"coalesce((SELECT ['{label}: ' || string_agg(name || ' (' || coalesce(nullif(spec, ''), '-') || ')', ', ' ORDER BY key)] FROM {rows} HAVING count(*) > 0), [])"
+
+
+def _percent(x: str) -> str:
+    return f"round({x} * 100)::INT || '%'"
+
+
+ORACLES["accuracy_report"] = f"""WITH {_sides()},
+one AS ({ORACLES["accuracy_metrics"]}), per AS ({ORACLES["accuracy_by_category"]}),
+t AS (SELECT ['=== accuracy ===', 'items: found ' || n_ai || ', truth ' || n_truth || ', matched ' || matched, 'precision ' || {_percent("precision")} || ', recall ' || {_percent("recall")} || ', F1 ' || {_percent("f1")}, 'quantity: ' || qty_match || ' of ' || matched || ' (' || {_percent("qty_rate")} || ')']
+  || (SELECT list('  ' || category || ': recall ' || {_percent("recall")} || ', quantity ' || {_percent("qty_rate")} || ' (' || matched || ' of ' || truth || ')' ORDER BY category) FROM per)
+  || {_first_ten("missing", "truth", "ai")} || {_first_ten("extra", "ai", "truth")} AS lines FROM one)
+SELECT generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS text FROM t"""
+ORACLES["session_round_trip"] = f"WITH {_CLASSIFIED} SELECT category, source, unit, count(*) AS n, count(DISTINCT project_id) AS projects, sum(quantity) AS quantity, min(confidence) AS least, max(spec) AS spec FROM classified GROUP BY category, source, unit"

@@ -8,6 +8,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schema
 from ..functions.scalar import truthy
@@ -39,6 +40,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip("﻿") for c in df.columns]).withColumn("ord", F.monotonically_increasing_id())
 
 
+def load_session(spark: SparkSession, path: str, row: StructType | str = schema.ITEM) -> DataFrame:
+    """Rows that sinks.dump_session wrote, with the columns and types of `row`."""
+    return spark.read.schema(row).json(path)
+
+
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     """The corrections log; empty if there is none. Blank lines are skipped."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

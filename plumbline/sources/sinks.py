@@ -58,6 +58,11 @@ def json_rows(items: DataFrame, keep: list[str]) -> DataFrame:
     return items.select(*keep, F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def dump_session(items: DataFrame, path: str) -> None:
+    """Whole rows as JSON lines, nulls included, for files.load_session."""
+    items.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def append_correction(spark: SparkSession, path: str, rows: list[tuple]) -> None:
     """Append rows (ts, project, source, note, before, after) to the corrections log."""
     spark.createDataFrame(rows, schema.CORRECTION).coalesce(1).write.mode("append").json(path)
