@@ -9,8 +9,9 @@ calibrated views; it scores every document.
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Store, text_or_empty
 from .learn import byte_grams, first_by_hash, fold, linear, logistic, sigmoid, surest
-from .textnum import U, chunks, runs, words
+from .textnum import U, buffers, chunks, runs, words
 
 #: Hash bits of the content view; labelled rows fitted on at most; rounds; pseudo-labels that a view gets in a round.
 BITS, SAMPLE, ROUNDS, GIVEN = 10, 8_000, 2, 1_000
@@ -69,50 +70,38 @@ def _features(text: pa.Array, langs: list, sources: list) -> Iterator[tuple[int,
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, a, b in _features(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            own = batch.slice(lo, hi - lo)
             blobs = [pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *blobs], ["doc_id", "a", "b"])
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(4), own.column(5), *blobs], ["doc_id", "y0", "y1", "a", "b"])
 
 
 class CoTrained:
-    """The two classifiers, their calibration and the combination; a few thousand numbers once it is done()."""
-
-    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray) -> None:
-        """views: labelled rows of each view; y: 0 or 1; held: rows kept for calibration."""
-        self.scale = [np.maximum(v.std(0), 1e-3) for v in views]
-        self.mean = [v.mean(0) for v in views]
-        x = [self._norm(i, v) for i, v in enumerate(views)]
-        self.x, self.y = [v[~held] for v in x], y[~held].astype(float)
-        self.held, self.held_y = [v[held] for v in x], y[held].astype(float)
-        self.more: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]  # pseudo-labelled rows of each view
-        self.train()
-
-    def _norm(self, i: int, v: np.ndarray) -> np.ndarray:
-        return ((v - self.mean[i]) / self.scale[i]).astype(np.float32)
-
-    def train(self) -> None:
-        self.w = []
-        for i in (0, 1):
-            x, y = np.vstack([self.x[i], *[a for a, _ in self.more[i]]]), np.concatenate([self.y, *[b for _, b in self.more[i]]])
-            self.w.append(logistic(x, y, np.where(np.arange(len(y)) < len(self.y), 1.0, 0.5)))
-
-    def prior(self) -> float:
-        return float(self.y.mean()) if len(self.y) else 1.0
+    """The two classifiers, their calibration and the combination: a few thousand numbers."""
 
-    def teach(self, i: int, rows: np.ndarray, y: np.ndarray) -> None:
-        """Give view i rows that the other view has labelled."""
-        self.more[i].append((self._norm(i, rows), y.astype(float)))
+    def __init__(self, view: Callable[[int], np.ndarray], y: Sequence[np.ndarray], held: np.ndarray, labelled: int) -> None:
+        """view: makes the rows of a view, which are let go before the next one's; y: for each view, 0, 1 or nan of rows that
+        are not for it; held: rows kept for calibration; the first `labelled` rows have labels, the rest pseudo-labels."""
+        self.mean, self.scale, self.w, z = [], [], [], []
+        for i in (0, 1):
+            x = view(i)
+            self.mean.append(x[:labelled].mean(0))
+            self.scale.append(np.maximum(x[:labelled].std(0), 1e-3))
+            x -= self.mean[i]
+            x /= self.scale[i]
+            own = np.flatnonzero(~np.isnan(y[i]) & ~held)
+            self.w.append(logistic(x[own], y[i][own], np.where(own < labelled, 1.0, 0.5)))
+            z.append(linear(x[held], self.w[i]))
+            del x
+        learnt = y[0][:labelled][~held[:labelled]]
+        self.prior = float(learnt.mean()) if len(learnt) else 1.0
+        held_y = y[0][held]
+        both = len(np.unique(held_y)) == 2
+        self.platt = [logistic(v[:, None], held_y, l2=1e-4) for v in z] if both else [np.array([1.0, 0.0])] * 2
+        cal = np.stack([linear(v[:, None], p) for v, p in zip(z, self.platt, strict=True)], 1)
+        self.combine = logistic(cal, held_y, l2=1e-2) if both else np.array([0.5, 0.5, 0.0])
 
     def margins(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-        return [linear(self._norm(i, v), self.w[i]) for i, v in enumerate((a, b))]
-
-    def done(self) -> CoTrained:
-        z = [linear(v, w) for v, w in zip(self.held, self.w, strict=True)]
-        both = len(np.unique(self.held_y)) == 2
-        self.platt = [logistic(v[:, None], self.held_y, l2=1e-4) for v in z] if both else [np.array([1.0, 0.0])] * 2
-        cal = np.stack([linear(v[:, None], p) for v, p in zip(z, self.platt, strict=True)], 1)
-        self.combine = logistic(cal, self.held_y, l2=1e-2) if both else np.array([0.5, 0.5, 0.0])
-        del self.x, self.y, self.held, self.held_y, self.more
-        return self
+        return [linear(((v - self.mean[i]) / self.scale[i]).astype(np.float32), self.w[i]) for i, v in enumerate((a, b))]
 
     def scores(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of good quality: combined, by content, by metadata."""
@@ -120,16 +109,38 @@ class CoTrained:
         return sigmoid(linear(np.stack(cal, 1), self.combine)), sigmoid(cal[0]), sigmoid(cal[1])
 
 
-def _rows_of(base: DataFrame, chosen: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids in order, content rows, metadata rows) of some ids; of rows that repeat an id, the least text."""
-    ids = base.sparkSession.createDataFrame([(i,) for i in chosen], "id long")
-    rows = base.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min(F.struct("bytes", "lang", "source")).alias("r"))
-    t = rows.select("doc_id", "r.*").mapInArrow(_sampled, "doc_id long, a binary, b binary").toArrow()
-    doc = t.column("doc_id").to_numpy()
-    order = np.argsort(doc, kind="stable")
-    wide = {"a": 1 << BITS, "b": _PAGE + _LANGS + _SOURCES}
-    a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.float16).reshape(len(doc), n)[order].astype(np.float32) for c, n in wide.items())
-    return doc[order], a, b
+def _rows_of(base: DataFrame, chosen: DataFrame, round_: int) -> DataFrame:
+    """Both views of the ids in `chosen` (id, y0, y1), a row each; of rows that repeat an id, the least text."""
+    own = [F.max("y0").alias("y0"), F.max("y1").alias("y1")]
+    rows = base.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min(F.struct("bytes", "lang", "source")).alias("r"), *own)
+    return rows.select("doc_id", "r.*", "y0", "y1").mapInArrow(_sampled, "doc_id long, y0 double, y1 double, a binary, b binary").withColumn("round", F.lit(round_))
+
+
+def _trained(t: pa.Table) -> pa.Table:
+    """The pickled model of all rows (of round 0: labelled ones), in order of round and id; no row without both classes."""
+    doc, rounds = t.column("doc_id").to_numpy(), t.column("round").to_numpy()
+    order = np.lexsort((doc, rounds))
+    y = [t.column(c).to_numpy()[order] for c in ("y0", "y1")]
+    labelled = int((rounds == 0).sum())
+    first = y[0][:labelled]
+    if len(np.unique(first)) < 2:
+        return pa.table({"model": pa.array([], pa.binary())})
+    held = np.zeros(len(order), bool)
+    held[:labelled] = [zlib.crc32(b"held%d" % i) % 4 == 0 for i in doc[order[:labelled]]]
+    if len(np.unique(first[~held[:labelled]])) < 2:
+        held[:] = False
+
+    def view(i: int) -> np.ndarray:
+        data, offsets = buffers(t.column("ab"[i]).combine_chunks())
+        return data[offsets[0] : offsets[-1]].view(np.float16).reshape(len(order), -1)[order].astype(np.float32)
+
+    return pa.table({"model": pa.array([pickle.dumps(CoTrained(view, y, held, labelled))], pa.binary())})
+
+
+def _train(rows: DataFrame) -> CoTrained | None:
+    """Fitted in one task on rows whose number is bounded (SAMPLE, GIVEN): the driver gets the model, never the rows."""
+    got = rows.groupBy().applyInArrow(_trained, "model binary").collect()
+    return pickle.loads(got[0][0]) if got else None
 
 
 def _pseudo_labels(model: CoTrained, free: DataFrame, known: DataFrame, store: Store, given: int, name: str) -> list[dict[int, float]]:
@@ -147,7 +158,7 @@ def _pseudo_labels(model: CoTrained, free: DataFrame, known: DataFrame, store: S
     rows = rows.filter("abs(z0) > 1 or abs(z1) > 1")
     rows = store.cut(rows.join(known.select("doc_id"), "doc_id", "left_anti").groupBy("text").agg(F.min(F.struct("doc_id", "z0", "z1")).alias("r")).select("r.*").groupBy("doc_id").agg(F.min("z0").alias("z0"), F.min("z1").alias("z1")), name)
     out: list[dict[int, float]] = [{}, {}]
-    high = int(given * model.prior())
+    high = int(given * model.prior)
     for i in (0, 1):
         z = F.col(f"z{i}")
         for sign, label, most in ((z, 1.0, high), (-z, 0.0, given - high)):
@@ -164,28 +175,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     known = known.filter(fold("doc_id", 4) != 2).groupBy("doc_id").agg(F.min("y").alias("y"))
-    told = {r[0]: r[1] for r in first_by_hash(known, "doc_id", sample, "q").collect()}
-    if len(set(told.values())) < 2:
-        return None
+    spark, store = docs.sparkSession, Store(docs.sparkSession, "quality")
+    y = F.col("y").cast("double")
+    told = store.cut(first_by_hash(known, "doc_id", sample, "q").select(F.col("doc_id").alias("id"), y.alias("y0"), y.alias("y1")), "told")
     base = _base(docs, id_col, text_col).filter("doc_id is not null").filter(fold("doc_id", 4) != 2)
-    doc, a, b = _rows_of(base, list(told))
-    y = np.array([told[int(i)] for i in doc])
-    if len(np.unique(y)) < 2:
-        return None
-    held = np.array([zlib.crc32(b"held%d" % i) % 4 == 0 for i in doc])
-    if len(np.unique(y[~held])) < 2:
-        held[:] = False
-    model, store = CoTrained((a, b), y, held), Store(docs.sparkSession, "quality")
-    for r in range(rounds):
+    rows = store.cut(_rows_of(base, told, 0), "rows0")
+    model = _train(rows)
+    for r in range(rounds if model else 0):
         both = _pseudo_labels(model, base, known, store, given, f"margins{r}")
         if chosen := sorted({*both[0], *both[1]}):
-            doc, *views = _rows_of(base, chosen)
-            for i in (0, 1):
-                own = np.array([int(k) in both[i] for k in doc])
-                model.teach(i, views[i][own], np.array([both[i][int(k)] for k in doc[own]]))
-            model.train()
+            taught = spark.createDataFrame([(i, both[0].get(i), both[1].get(i)) for i in chosen], "id long, y0 double, y1 double")
+            rows = rows.unionByName(store.cut(_rows_of(base, taught, r + 1), f"rows{r + 1}"))
+            model = _train(rows)
     store.drop("")
-    return model.done()
+    return model
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
